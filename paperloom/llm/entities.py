@@ -30,7 +30,7 @@ SALTS = 8
 
 def edits(length: Column) -> Column:
     """Edits allowed between family names by the length of the shorter one."""
-    return F.when(length < 4, 0).when(length < 6, 1).when(length < 9, 2).otherwise(3)
+    return F.when(length < 4, 0).when(length < 6, 1).when(length < 8, 2).otherwise(3)
 
 
 def segment_join(left: DataFrame, right: DataFrame, block: list[str]) -> DataFrame:

@@ -20,6 +20,8 @@ MISSING = {"", "unbekannt", "ka", "na", "keine angabe", "none", "null", "nan", "
 LEGAL = {"gmbh", "mbh", "ges", "gesellschaft", "kg", "co", "ag", "se", "ohg", "ek", "ekfm", "kfm", "kommanditges", "kommanditgesellschaft", "aktiengesellschaft", "aktienges", "fa", "firma", "ug", "gbr", "kgaa", "gesmbh", "cokg", "gmbhcokg", "inc", "ltd", "ev", "eg", "cie", "comp", "company", "oh", "offene", "handelsgesellschaft", "handelsges", "eingetragener", "eingetragene", "kaufmann", "kauffrau", "gesellsch", "beschrankter", "haftung", "mit", "der", "die", "das"}
 # Words beside a person's name.
 TITLES = {"herr", "herrn", "frau", "hr", "fr", "dr", "prof", "dipl", "ing", "privat", "familie", "fam"}
+# Legal forms that a field of limited width cuts short.
+CUT_LEGAL = ("kommanditgesellschaft", "aktiengesellschaft", "gesellschaft", "eingetragener")
 AND = {"u", "und", "and", "et", "y"}
 SONS = "sohne"
 # Given names, each followed by its short and pet forms.
@@ -184,7 +186,7 @@ _LEGAL_DOTTED = re.compile(r"(?i)(?<![^\W\d_])(g\.?\s?m\.?\s?b\.?\s?h\.?|ges\.?\
 
 def words_of(text: str) -> list[str]:
     text = unicodedata.normalize("NFC", text)
-    text = re.sub(r"(?<=[a-zäöüß])(?=[A-ZÄÖÜ][a-zäöüß])", " ", text)  # run-together words
+    text = re.sub(r"(?<=[a-zäöüß])(?=[A-ZÄÖÜ][a-zäöüß]|[A-Z]{1,2}-)", " ", text)  # run-together words
     return [w for w in re.split(r"[^a-z]+", fold(text)) if w]
 
 
@@ -210,9 +212,14 @@ def parse(text: str, lex: Lexicon) -> Name | None:
     words = words_of(bare)
     rest, sons = [], False
     words = [x for w in words for x in re.sub(r"(?<=[a-z]{4})(?:und|u)?sohne|^(?:und|u)?sohne(?=[a-z]{4})", " sohne ", w).split()]
-    for w in words:
-        if w in LEGAL:
+    joined = not re.search(r"[&+]", text) and not AND & set(words)
+    for k, w in enumerate(words):
+        if joined and w.endswith("und") and len(w) > 8 and SONS in words[k + 1 : k + 2]:
+            w = w[:-3]
+        if w in LEGAL or (len(w) >= 4 and any(x.startswith(w) for x in CUT_LEGAL)):
             legal = True
+        elif k and k == len(words) - 1 and len(w) in (3, 4) and (w == "gmb" or any(t.startswith(w) for t in lex.towns)):
+            continue
         elif w in AND or w in TITLES:
             continue
         elif w in (SONS, "soh", "sohn") or (4 <= len(w) <= 7 and w[0] == "s" and distance(w, SONS, 1) <= 1):

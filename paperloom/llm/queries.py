@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import canonical, entities, tokens
+from paperloom.llm import canonical, entities, history, tokens
 from paperloom.session import table
 
 
@@ -36,9 +36,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_to_reference(p4_values(spark, d), entities.reference_rows(table(spark, d, "supplier_ref")))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.find_copies(table(spark, d, "uploads"), table(spark, d, "documents"))
+
+
+def p5_registry(spark: SparkSession, d: str) -> DataFrame:
+    return history.registry_after(table(spark, d, "uploads"), table(spark, d, "document_fingerprints"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p4_found": p4_found, "p6_ids": p6_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_registry": p5_registry, "p6_ids": p6_ids}
 ORACLE: dict[str, str] = {}
