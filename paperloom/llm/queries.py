@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import canonical, entities, history, tokens
+from paperloom.llm import canonical, entities, history, scans, tokens
 from paperloom.session import table
 
 
@@ -22,6 +22,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return entities.variant_pairs(linked)
 
 
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "ocr_results").select(F.lit("ocr_results").alias("rec_table"), F.col("ocr_id").alias("rec_id"), "text")
+    return o.unionByName(table(spark, d, "labeled_documents").select(F.lit("labeled_documents").alias("rec_table"), F.col("label_id").alias("rec_id"), "text"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.find_damage(p3_records(spark, d))
+
+
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(p3_records(spark, d))
+
+
 def p4_values(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "suppliers").dropDuplicates(["supplier_id"])
     m = table(spark, d, "supplier_matches").select("match_id", "canonical_name").dropDuplicates(["match_id"])
@@ -48,5 +61,5 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_registry": p5_registry, "p6_ids": p6_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p5_registry": p5_registry, "p6_ids": p6_ids}
 ORACLE: dict[str, str] = {}
