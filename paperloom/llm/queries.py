@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import canonical, entities, history, pii, scans, tokens
+from paperloom.llm import canonical, entities, history, mixing, pii, scans, tokens
 from paperloom.session import table
 
 
@@ -61,6 +61,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.find_items(table(spark, d, "documents").dropDuplicates(["doc_id"]))
 
@@ -69,5 +77,5 @@ def p8_masked(spark: SparkSession, d: str) -> DataFrame:
     return pii.mask_items(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p5_registry": p5_registry, "p6_ids": p6_ids, "p8_found": p8_found, "p8_masked": p8_masked}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p5_registry": p5_registry, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_masked": p8_masked}
 ORACLE: dict[str, str] = {}
