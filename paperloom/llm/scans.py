@@ -314,7 +314,7 @@ def damages(pages: DataFrame) -> DataFrame:
     rows = words.where("right is null and form not like '%-%'").orderBy(F.desc("n"), "form").limit(KNOWN).select("form", "n").collect()
     known = {r.form: r.n for r in rows}
     total = words.agg(F.sum("n")).first()[0] or 0
-    asks = pages.mapInPandas(_lookups(known, FRAGMENT * total), "rec_table string, rec_id long, line_no long, line2 long, ask string, skel string, a string, b string, least long, mark string")
+    asks = pages.mapInPandas(_lookups(known, max(RATIO, FRAGMENT * total)), "rec_table string, rec_id long, line_no long, line2 long, ask string, skel string, a string, b string, least long, mark string")
     group = words.groupBy("skel").agg(F.collect_list(F.struct("form", "n", "right")).alias("forms"))
     return asks.join(group, "skel", "left").drop("skel").mapInPandas(_decide, "rec_table string, rec_id long, line_no long, kind string, seen string, right string")
 
