@@ -70,7 +70,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.find_items(table(spark, d, "documents").dropDuplicates(["doc_id"]))
+    return pii.find_items(table(spark, d, "documents")).distinct()
 
 
 def p8_masked(spark: SparkSession, d: str) -> DataFrame:
