@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import classifier_text, parse_date, supplier_key
 
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 #: A dimension that is sent to every task must not be longer.
 MAX_DIMENSION = 50_000
 # Words and weights of document types.
@@ -27,8 +27,14 @@ SEGMENT_WEIGHT = {"header": 2.0, "body": 1.0, "footer": 0.5}
 
 def lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, line_no, line), line_no from 0; a null text has no lines, a last empty one is dropped."""
-    x = docs.where("text is not null").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", LINE_ENDS, "\n"), "\n")).alias("line_no", "line"), F.size(F.split(F.regexp_replace("text", LINE_ENDS, "\n"), "\n")).alias("n"))
-    return x.where("not (line_no = n - 1 and line = '')").drop("n")
+    x = docs.where("text is not null").select("doc_id", line_array(F.col("text")).alias("a"))
+    return x.select("doc_id", F.posexplode("a").alias("line_no", "line"))
+
+
+def line_array(text: Column) -> Column:
+    """The lines of a text; a last empty one is dropped."""
+    a = F.split(text, LINE_ENDS)
+    return F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a)
 
 
 def segments(ls: DataFrame, header: int = 35, footer: int = 35) -> DataFrame:
@@ -72,10 +78,14 @@ def document_numbers(ls: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, header: int = 5, footer: int = 5) -> DataFrame:
     """(doc_id, doc_type, score): keywords count once per segment with its weight; ties by name, no hit SONSTIGES.
 
-    All keywords are tested in one pass over each segment's text; nothing is joined.
+    A document is cut into its segments in place and all keywords are tested in one pass over each; nothing is joined.
     """
-    seg = segments(lines(docs), header, footer).groupBy("doc_id", "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    t = classifier_text(F.col("text"))
+    n = F.size("a")
+    h, f = F.least(F.lit(header), n), F.least(F.lit(footer), n)
+    parts = {"header": F.slice("a", 1, h), "body": F.slice("a", h + 1, F.greatest(n - h - f, F.lit(0))), "footer": F.slice("a", n - f + 1, f)}
+    one = lambda name: F.struct(F.lit(name).alias("segment"), classifier_text(F.array_join(parts[name], "\n")).alias("t"))
+    seg = docs.where("text is not null").select("doc_id", line_array(F.col("text")).alias("a")).select("doc_id", F.explode(F.array(*[one(k) for k in parts])).alias("s")).select("doc_id", "s.segment", "s.t")
+    t = F.col("t")
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in SEGMENT_WEIGHT.items() for x in kv]), F.col("segment"))
     hits = F.array_compact(F.array(*[F.when(F.contains(t, F.lit(k)), F.struct(F.lit(d).alias("doc_type"), F.lit(w).alias("w"))) for d, k, w in TYPE_KEYWORDS]))
     s = seg.select("doc_id", weight.alias("sw"), F.explode(hits).alias("h")).groupBy("doc_id", "h.doc_type").agg(F.round(F.sum(F.col("sw") * F.col("h.w")), 4).alias("score"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as X
 from paperloom.operators import extract, report, store, vectors
 from paperloom.operators.timestamps import normalise_timestamps
-from paperloom.session import table
+from paperloom.session import spread, table
 from paperloom.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,10 @@ def once(s: SparkSession, d: str, name: str, key: str) -> DataFrame:
     return table(s, d, name).dropDuplicates([key])
 
 
+def documents(s: SparkSession, d: str) -> DataFrame:
+    return spread(table(s, d, "documents"))
+
+
 U = "(select distinct on (upload_id) * from uploads)"
 Q = "(select distinct on (entry_id) * from quarantine)"
 M = "(select distinct on (match_id) * from supplier_matches)"
@@ -80,19 +84,19 @@ def f20_target_names(s, d):
 
 @query("select doc_id, cast(('0x' || substr(sha256(cast(doc_id as varchar)),1,8))::bigint % 100 as integer) bucket, 'ohneNr_' || upper(substr(sha1(text),1,6)) fallback from documents where text is not null")
 def f51_canary(s, d):
-    return table(s, d, "documents").where("text is not null").select("doc_id", X.canary_bucket(F.col("doc_id").cast("string")).alias("bucket"), X.fallback_number(F.col("text")).alias("fallback"))
+    return documents(s, d).where("text is not null").select("doc_id", X.canary_bucket(F.col("doc_id").cast("string")).alias("bucket"), X.fallback_number(F.col("text")).alias("fallback"))
 
 
 @query(r"""select doc_id, cast(2 * len(list_filter(regexp_split_to_array(t, '[ \t\r\n]+'), lambda w: w <> '')) + length(regexp_replace(t,'[^a-z0-9]','','g')) // 25
  + 60 * (len(string_split(t,'rechnung')) - 1 + len(string_split(t,'lieferschein')) - 1) + case when len(string_split(t,'datum')) + len(string_split(t,'vom ')) > 2 then 80 else 0 end
  + 180 * len(regexp_extract_all(t,'[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}')) as integer) score from (select doc_id, lower(coalesce(text,'')) t from documents)""")
 def f50_text_scores(s, d):
-    return table(s, d, "documents").select("doc_id", X.text_score(F.col("text"), ("rechnung", "lieferschein"), ("datum", "vom ")).cast("int").alias("score"))
+    return documents(s, d).select("doc_id", X.text_score(F.col("text"), ("rechnung", "lieferschein"), ("datum", "vom ")).cast("int").alias("score"))
 
 
 @query()
 def f42_chunks(s, d):
-    c = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(X.word_chunks(F.col("text"), 400)).alias("chunk_no", "chunk"))
+    c = documents(s, d).where("text is not null").select("doc_id", F.posexplode(X.word_chunks(F.col("text"), 400)).alias("chunk_no", "chunk"))
     return c.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"))
 
 
@@ -147,12 +151,12 @@ def f82_coverage(s, d):
 
 @query(f"select count(*) n_lines, cast(sum(length(line)) as bigint) n_chars, count(distinct doc_id) n_docs, max(line_no) last_line from {LINES}")
 def x03_lines(s, d):
-    return extract.lines(table(s, d, "documents")).agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.countDistinct("doc_id").alias("n_docs"), F.max("line_no").cast("long").alias("last_line"))
+    return extract.lines(documents(s, d)).agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.countDistinct("doc_id").alias("n_docs"), F.max("line_no").cast("long").alias("last_line"))
 
 
 @query(f"select doc_id, count(*) filter (where line_no < 5) header, count(*) filter (where line_no >= 5 and line_no < n - 4) body, count(*) filter (where line_no >= n - 4) footer from {LINES} group by doc_id")
 def d02_segments(s, d):
-    g = extract.segments(extract.lines(table(s, d, "documents")), 5, 4)
+    g = extract.segments(extract.lines(documents(s, d)), 5, 4)
     return g.groupBy("doc_id").agg(*[F.count_if(F.col("segment") == x).alias(x) for x in ("header", "body", "footer")])
 
 
@@ -161,23 +165,23 @@ def d02_segments(s, d):
  p as (select doc_id, line_no, s, cast(coalesce(try_strptime(raw,'%d.%m.%Y'), try_strptime(raw,'%Y-%m-%d')) as date) dt from h)
  select doc_id, dt as date, s as score from (select *, row_number() over (partition by doc_id order by s desc, line_no, dt) k from p where dt is not null and year(dt) between 1990 and 2100) where k = 1""")
 def d10_best_dates(s, d):
-    return extract.best_dates(extract.lines(table(s, d, "documents")))
+    return extract.best_dates(extract.lines(documents(s, d)))
 
 
 @query("with kw(doc_type,k,w) as (values " + ",".join(f"('{a}','{b}',{c})" for a, b, c in extract.TYPE_KEYWORDS) + "), seg as (select doc_id, line_no, line, unnest(list_filter([case when line_no < 5 then 'header' end, case when line_no >= 5 and line_no < n - 5 then 'body' end, case when line_no >= n - 5 then 'footer' end], lambda x: x is not null)) segment from " + LINES + "), t as (select doc_id, segment, regexp_replace(regexp_replace(" + "replace(replace(replace(replace(lower(string_agg(line, chr(10) order by line_no)),'ä','ae'),'ö','oe'),'ü','ue'),'ß','ss')" + ", '[_:/\\\\-]+',' ','g'),'\\s+',' ','g') t from seg group by all), sc as (select doc_id, doc_type, round(sum(w * case segment when 'header' then 2.0 when 'body' then 1.0 else 0.5 end), 4)::double score from t join kw on contains(t, k) group by all), b as (select *, row_number() over (partition by doc_id order by score desc, doc_type) r from sc) select d.doc_id, coalesce(b.doc_type,'SONSTIGES') doc_type, coalesce(b.score,0.0)::double score from documents d left join b on d.doc_id = b.doc_id and r = 1")
 def d30_document_types(s, d):
-    return extract.classify(table(s, d, "documents"))
+    return extract.classify(documents(s, d))
 
 
 @query(rf"""with h as (select doc_id, line_no, regexp_extract(line, '(?:Nr\.|Nummer:|No\.|number:|Vorgang|Beleg-Nr\.|Ref\.|Réf\.|n\.º)\s*([A-Z]{{0,3}}-?[0-9][0-9/-]{{3,}})', 1) number from {LINES})
  select doc_id, number from (select *, row_number() over (partition by doc_id order by line_no, number) k from h where length(number) >= 4 and not regexp_matches(number, '^[0-9]{{1,2}}\.[0-9]{{1,2}}\.|^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$|^DE[0-9]{{20}}$')) where k = 1""")
 def d40_document_numbers(s, d):
-    return extract.document_numbers(extract.lines(table(s, d, "documents")))
+    return extract.document_numbers(extract.lines(documents(s, d)))
 
 
 @query(f"with n as (select ref_id, {KEY.format('ref_name')} k from supplier_ref), t as (select doc_id, {KEY.format('text')} t from documents where text is not null) select doc_id, min(ref_id) name_id, count(*) n_found from t join n on contains(t, k) group by doc_id")
 def j01_contained_suppliers(s, d):
-    return extract.contained_names(table(s, d, "documents"), table(s, d, "supplier_ref").select(F.col("ref_id").alias("name_id"), F.col("ref_name").alias("name")))
+    return extract.contained_names(documents(s, d), table(s, d, "supplier_ref").select(F.col("ref_id").alias("name_id"), F.col("ref_name").alias("name")))
 
 
 # --- joins, merges, state
@@ -265,7 +269,7 @@ def u16_drift(s, d):
 
 @query("select doc_id, case when ('0x' || substr(sha256('42:' || cast(doc_id as varchar)),1,8))::bigint % 100 < 80 then 'train' else 'test' end part from documents")
 def u19_split(s, d):
-    return store.hash_split(table(s, d, "documents"), "doc_id", 80, 42).select("doc_id", "part")
+    return store.hash_split(documents(s, d), "doc_id", 80, 42).select("doc_id", "part")
 
 
 # --- reports
@@ -326,7 +330,7 @@ def a13_training_counts(s, d):
 @query(r"select lang, source, count(*) n, cast(sum(length(text)) as bigint) chars, cast(sum(len(list_filter(regexp_split_to_array(text,'[ \t\r\n]+'), lambda w: w <> ''))) as bigint) words from documents group by 1, 2")
 def a22_metadata(s, d):
     words = F.size(F.filter(F.split("text", r"[ \t\r\n]+"), lambda w: w != ""))
-    return table(s, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(F.when(F.col("text").isNotNull(), words)).alias("words"))
+    return documents(s, d).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(F.when(F.col("text").isNotNull(), words)).alias("words"))
 
 
 @query(f"""with c as (select corrected_doctype t, document_type g from {Q} where corrected_doctype is not null and document_type is not null), l as (select t label from c union select g from c),
