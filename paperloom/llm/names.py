@@ -10,6 +10,7 @@ import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 #: The reference list is sent to every task; a longer list than this is refused.
 MAX_REFERENCE = 50_000
@@ -62,32 +63,54 @@ def is_missing(text: str | None) -> bool:
     return letters in MISSING or letters.replace(" ", "") in MISSING
 
 
-def distance(a: str, b: str, k: int) -> int:
-    """Edit distance with swaps of neighbours, in a band of width k; k + 1 when it is larger."""
-    if a == b:
-        return 0
-    n, m = len(a), len(b)
-    if abs(n - m) > k:
-        return k + 1
-    big = k + 1
+def _last_row(a: str, b: str, k: int) -> list[int] | None:
+    """Distances of a to each beginning of b in a band of width k; None when all are beyond k."""
+    m, big = len(b), k + 1
     before, last = None, [j if j <= k else big for j in range(m + 1)]
-    for i in range(1, n + 1):
-        lo, hi = max(1, i - k), min(m, i + k)
+    prev = ""
+    for i, x in enumerate(a, 1):
+        lo, hi = i - k, i + k
+        if lo < 1:
+            lo = 1
+        if hi > m:
+            hi = m
         now = [big] * (m + 1)
+        least = big
         if i <= k:
-            now[0] = i
-        x, least = a[i - 1], now[0]
+            now[0] = least = i
+        left = now[lo - 1]
         for j in range(lo, hi + 1):
-            v = last[j - 1] if x == b[j - 1] else 1 + min(last[j - 1], last[j], now[j - 1])
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1] and x != b[j - 1]:
-                v = min(v, before[j - 2] + 1)
-            now[j] = v if v < big else big
+            y = b[j - 1]
+            if x == y:
+                v = last[j - 1]
+            else:
+                v = last[j - 1]
+                if last[j] < v:
+                    v = last[j]
+                if left < v:
+                    v = left
+                v += 1
+                if j > 1 and i > 1 and x == b[j - 2] and prev == y and before[j - 2] + 1 < v:
+                    v = before[j - 2] + 1
+                if v > big:
+                    v = big
+            now[j] = left = v
             if v < least:
                 least = v
         if least > k:
-            return big
-        before, last = last, now
-    return min(last[m], big)
+            return None
+        before, last, prev = last, now, x
+    return last
+
+
+def distance(a: str, b: str, k: int) -> int:
+    """Edit distance with swaps of neighbours, in a band of width k; k + 1 when it is larger."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > k:
+        return k + 1
+    row = _last_row(a, b, k)
+    return k + 1 if row is None else min(row[-1], k + 1)
 
 
 def slack(length: int) -> int:
@@ -98,7 +121,8 @@ def slack(length: int) -> int:
 def prefix_distance(word: str, full: str, k: int) -> int:
     """Least distance of a word to a prefix of a longer one, as in a word cut short."""
     n = len(word)
-    return min((distance(word, full[:p], k) for p in range(max(3, n - k), min(len(full), n + k) + 1)), default=k + 1)
+    row = _last_row(word, full[: n + k], k)
+    return k + 1 if row is None else min(min(row[max(3, n - k) :], default=k + 1), k + 1)
 
 
 def subsequence(word: str, full: str) -> bool:
@@ -112,6 +136,7 @@ class Lexicon:
     towns: list[str]
     refs: list[tuple] = field(default_factory=list)  # (ref_id, family, trade, town, sons, code)
     memo: dict = field(default_factory=dict)
+    towns_seen: dict = field(default_factory=dict)
 
     def trade_of(self, word: str) -> tuple[str, float] | None:
         """The trade a word or a run of words spells, shortens or abbreviates, with a cost."""
@@ -142,6 +167,14 @@ class Lexicon:
         return best
 
     def town_of(self, word: str) -> str | None:
+        """The town a word spells."""
+        if word not in self.towns_seen:
+            if len(self.towns_seen) > 500_000:
+                self.towns_seen.clear()
+            self.towns_seen[word] = self._town_of(word)
+        return self.towns_seen[word]
+
+    def _town_of(self, word: str) -> str | None:
         for t in self.towns:
             if word == t or (len(word) >= 5 and abs(len(word) - len(t)) <= 2 and distance(word, t, 1 if len(t) < 8 else 2) <= (1 if len(t) < 8 else 2)):
                 return t
@@ -190,6 +223,7 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", fold(text)) if w]
 
 
+@lru_cache(200_000)
 def given_of(word: str) -> str | None:
     if word in GIVEN:
         return GIVEN[word][0]

@@ -23,6 +23,8 @@ from paperloom.llm.pii_labels import KINDS, letters
 
 #: Letters drawn from the labelled table, passes over them, and the table's seed.
 ROWS_FITTED, PASSES, SEED = 1500, 10, 7
+#: Letters in a step of the fit.
+STEP = 40
 OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3, 4)
 LABELS = ["O", *[f"{b}-{k}" for k in KINDS for b in "BI"]]
 _L = len(LABELS)
@@ -210,8 +212,11 @@ def fit(rows: int = ROWS_FITTED, passes: int = PASSES, seed: int = SEED) -> Tagg
     order = np.arange(len(seqs))
     for _ in range(passes):
         rng.shuffle(order)
-        for at in range(0, len(order), 30):
-            part = [seqs[i] for i in order[at : at + 30]]
+        # letters of like length go together
+        groups = [sorted(order[i : i + 400], key=lambda j: len(seqs[j][0])) for i in range(0, len(order), 400)]
+        batches = [g[i : i + STEP] for g in groups for i in range(0, len(g), STEP)]
+        for b in rng.permutation(len(batches)):
+            part = [seqs[i] for i in batches[b]]
             B, T = len(part), max(len(s) for s, _ in part)
             ids = np.full((B, T + 8), -1)
             gold = np.zeros((B, T), int)

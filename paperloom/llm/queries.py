@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import canonical, entities, history, mixing, pii, scans, tokens
-from paperloom.session import table
+from paperloom.session import spread, table
 
 
 def p2_names(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def p5_registry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode_corpus(table(spark, d, "documents"))
+    return tokens.encode_corpus(spread(table(spark, d, "documents")))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -70,11 +70,11 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.find_items(table(spark, d, "documents")).distinct()
+    return pii.find_items(spread(table(spark, d, "documents"))).distinct()
 
 
 def p8_masked(spark: SparkSession, d: str) -> DataFrame:
-    return pii.mask_items(table(spark, d, "documents"))
+    return pii.mask_items(spread(table(spark, d, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p5_registry": p5_registry, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_masked": p8_masked}
