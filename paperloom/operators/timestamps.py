@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import width
+
 #: Records are decoded in blocks of so many consecutive ids, so that a site with a third of all rows is spread over tasks.
 BLOCK = 8192
 SWITCH, BACK, RULE = 1.0, 0.5, 10.0
@@ -291,6 +293,6 @@ def normalise_timestamps(records: DataFrame, sites: DataFrame) -> DataFrame:
     s = sites.groupBy("owner_scope").agg(F.min(F.struct("zone_name", "locale")).alias("s")).select("owner_scope", "s.zone_name", "s.locale")
     r = records.select("rec_table", F.col("rec_id").cast("long").alias("rec_id"), "owner_scope", "val").where("val is not null and rec_id is not null")
     r = r.join(s, "owner_scope", "left").withColumn("block", F.expr(f"rec_id div {BLOCK}"))
-    r = r.repartition("rec_table", "block").sortWithinPartitions("rec_table", "block", "owner_scope", "rec_id", "val")
+    r = r.repartition(width(records.sparkSession), "rec_table", "block").sortWithinPartitions("rec_table", "block", "owner_scope", "rec_id", "val")
     cols = ["rec_table", "owner_scope", "block", "rec_id", "val", "zone_name", "locale"]
     return r.select(*cols).mapInPandas(_decode, "rec_table string, rec_id long, normal_form string")

@@ -35,3 +35,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
+def width(spark: SparkSession) -> int:
+    """Partitions of a shuffle before work that is heavy per row: a stated number isn't coalesced by the bytes it carries."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
