@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import canonical, entities, history, mixing, pii, scans, tokens
-from paperloom.session import spread, table
+from paperloom.session import spread, table, width
 
 
 def p2_names(spark: SparkSession, d: str) -> DataFrame:
@@ -36,8 +36,8 @@ def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_values(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "suppliers").dropDuplicates(["supplier_id"])
-    m = table(spark, d, "supplier_matches").select("match_id", "canonical_name").dropDuplicates(["match_id"])
+    s = table(spark, d, "suppliers").repartition(width(spark), "supplier_id").dropDuplicates(["supplier_id"])
+    m = table(spark, d, "supplier_matches").select("match_id", "canonical_name").repartition(width(spark), "match_id").dropDuplicates(["match_id"])
     return (
         s.select(F.lit("suppliers.name").alias("field_name"), F.col("supplier_id").alias("rec_id"), F.lit(0).alias("pos"), F.col("name").alias("val"))
         .unionByName(s.select(F.lit("suppliers.aliases").alias("field_name"), F.col("supplier_id").alias("rec_id"), F.posexplode("aliases").alias("pos", "val")).withColumn("pos", F.col("pos") + 1))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.names import distance
-from paperloom.session import cut
+from paperloom.session import cut, width
 
 #: So many of the most frequent good forms are known to every task (bounded; all other forms are found by a join).
 KNOWN = 20_000
@@ -165,7 +165,7 @@ def laid_out(records: DataFrame) -> DataFrame:
         for b in batches:
             yield b.assign(kinds=["".join(_CODE[k] for k in layout(t)[1]) for t in b.text])
 
-    r = records.select("rec_table", F.col("rec_id").cast("long").alias("rec_id"), "text").where("text is not null and rec_id is not null").dropDuplicates(["rec_table", "rec_id"])
+    r = records.select("rec_table", F.col("rec_id").cast("long").alias("rec_id"), "text").where("text is not null and rec_id is not null").repartition(width(records.sparkSession), "rec_table", "rec_id").dropDuplicates(["rec_table", "rec_id"])
     return cut(r.mapInPandas(run, "rec_table string, rec_id long, text string, kinds string"))
 
 
