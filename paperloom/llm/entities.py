@@ -105,6 +105,11 @@ def link_entities(names: DataFrame, ref: DataFrame) -> DataFrame:
         if not moved:
             break
 
+    # a chain of small steps must not end at another name: a spelling far from its root stands alone
+    text = node.select("id", "txt")
+    far = root.join(text, "id").join(text.select(F.col("id").alias("root"), F.col("txt").alias("rtxt")), "root")
+    root = cut(far.select("id", F.when(F.levenshtein("txt", "rtxt") <= edits(F.least(F.length("txt"), F.length("rtxt"))) + 1, F.col("root")).otherwise(F.col("id")).alias("root")))
+
     # names without a trade: the one firm of nearest family, of the same town if both name one
     firms = node.where("cls = 'F'")
     towns = firms.join(root, "id").groupBy("root").agg(F.collect_set(F.nullif(F.col("town"), F.lit(""))).alias("towns"))
