@@ -52,7 +52,7 @@ def segment_join(left: DataFrame, right: DataFrame, block: list[str]) -> DataFra
     # a segment moves left or right only so far that the edits on both sides still fit into k
     probe = probe.withColumn("s", F.explode(F.expr("sequence(-((k - (len - m)) div 2), (k + (len - m)) div 2)"))).where("at + s >= 0 and at + s + n <= len")
     probe = probe.withColumn("seg", F.expr("substring(txt, at + s + 1, n)")).select(F.col("id").alias("l"), F.col("txt").alias("ltxt"), *block, "m", "i", "seg")
-    both = probe.join(idx, [*block, "m", "i", "seg"]).where("l <> r").select("l", "r", "ltxt", "rtxt").distinct()
+    both = probe.join(idx.hint("merge"), [*block, "m", "i", "seg"]).where("l <> r").select("l", "r", "ltxt", "rtxt").distinct()
     k = edits(F.least(F.length("ltxt"), F.length("rtxt")))
     return both.withColumn("d", F.levenshtein("ltxt", "rtxt", 3)).where((F.col("d") >= 0) & (F.col("d") <= k)).select("l", "r", "d")
 
@@ -90,46 +90,42 @@ def link_entities(names: DataFrame, ref: DataFrame) -> DataFrame:
     node = read.groupBy("cls", "disc", "fam").agg(F.count("*").alias("strings"), F.sum("n").alias("uses"), F.max("town").alias("town"))
     node = cut(node.select(F.concat_ws("|", "cls", "disc", "fam").alias("id"), "cls", "disc", F.col("fam").alias("txt"), "strings", "uses", "town"))
 
-    known = node.where("cls <> 'N'")
-    pairs = segment_join(known, known, ["cls", "disc"])
-    a = node.select(F.col("id").alias("l"), F.col("strings").alias("ls"), F.col("uses").alias("lu"))
-    b = node.select(F.col("id").alias("r"), F.col("strings").alias("rs"), F.col("uses").alias("ru"))
-    up = pairs.join(a, "l").join(b, "r").where("(rs, ru, r) > (ls, lu, l) and (ls <= 2 or (rs >= 3 * ls and d <= 2))")
-    up = up.groupBy("l").agg(F.min(F.struct("d", F.expr("-rs as rs"), F.expr("-ru as ru"), "r")).alias("best")).select(F.col("l").alias("id"), F.col("best.r").alias("root"))
-    root = cut(known.select("id").join(up, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    # ids carry what later steps compare, so nothing is joined back; joins are merges, as both sides grow with the data
+    known = node.where("cls <> 'N'").select(F.struct("strings", "uses", "id", "txt").alias("id"), "txt", "cls", "disc")
+    pairs = segment_join(known, known, ["cls", "disc"]).where("(r.strings, r.uses, r.id) > (l.strings, l.uses, l.id) and (l.strings <= 2 or (r.strings >= 3 * l.strings and d <= 2))")
+    up = pairs.groupBy(F.col("l.id").alias("id")).agg(F.min(F.struct("d", F.expr("-r.strings as s"), F.expr("-r.uses as u"), "r")).alias("best"))
+    up = up.select("id", F.struct("best.r.id", "best.r.txt").alias("up"))
+    root = cut(known.select("id.id", "txt").join(up.hint("merge"), "id", "left").select("id", "txt", F.coalesce("up", F.struct("id", "txt")).alias("root")))
     while True:  # pointer jumping: the longest chain is halved each time
-        nxt = root.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        root2 = cut(root.join(nxt, "root", "left").select("id", F.coalesce("further", "root").alias("root"), (F.col("further") != F.col("root")).alias("moved")))
-        moved = not root2.where("moved").isEmpty()
-        root = root2.select("id", "root")
+        nxt = root.select(F.col("id").alias("rid"), F.col("root").alias("further"))
+        step = root.join(nxt.hint("merge"), F.col("root.id") == F.col("rid"), "left").select("id", "txt", F.coalesce("further", "root").alias("root"), (F.col("further.id") != F.col("root.id")).alias("moved"))
+        step = cut(step)
+        moved = not step.where("moved").isEmpty()
+        root = step.drop("moved")
         if not moved:
             break
-
     # a chain of small steps must not end at another name: a spelling far from its root stands alone
-    text = node.select("id", "txt")
-    far = root.join(text, "id").join(text.select(F.col("id").alias("root"), F.col("txt").alias("rtxt")), "root")
-    root = cut(far.select("id", F.when(F.levenshtein("txt", "rtxt") <= edits(F.least(F.length("txt"), F.length("rtxt"))) + 1, F.col("root")).otherwise(F.col("id")).alias("root")))
+    near = F.levenshtein("txt", "root.txt") <= edits(F.least(F.length("txt"), F.length("root.txt"))) + 1
+    root = root.select("id", F.when(near, F.col("root.id")).otherwise(F.col("id")).alias("root"))
 
     # names without a trade: the one firm of nearest family, of the same town if both name one
-    firms = node.where("cls = 'F'")
-    towns = firms.join(root, "id").groupBy("root").agg(F.collect_set(F.nullif(F.col("town"), F.lit(""))).alias("towns"))
+    firms = node.where("cls = 'F'").select("id", "txt", "town").join(root.hint("merge"), "id").select(F.struct("root", "town").alias("id"), "txt").distinct()
     bare = node.where("cls = 'N'")
-    exact = bare.join(firms.select(F.col("id").alias("r"), "txt"), "txt").select(F.col("id").alias("l"), "r", F.lit(0).alias("d"))
-    meet = segment_join(bare.select("id", "txt"), firms.select("id", "txt"), []).unionByName(exact)
-    meet = meet.join(root.withColumnRenamed("id", "r"), "r").join(towns, "root").join(bare.select(F.col("id").alias("l"), F.col("town").alias("ltown")), "l")
-    meet = meet.withColumn("other", F.expr("cast(not (ltown = '' or size(towns) = 0 or array_contains(towns, ltown)) as int)"))
-    meet = meet.groupBy("l", "root").agg(F.min(F.struct("other", "d")).alias("fit"))
+    meet = segment_join(bare.select(F.struct(F.col("id").alias("root"), "town").alias("id"), "txt"), firms, [])
+    meet = meet.select(F.col("l.root").alias("l"), F.col("r.root").alias("root"), F.expr("cast(not (l.town = '' or r.town = '' or l.town = r.town) as int)").alias("other"), F.expr("cast(l.town = r.town as int)").alias("same"), "d")
+    # a firm whose spellings name other towns only is another one
+    meet = meet.groupBy("l", "root").agg(F.struct(F.expr("if(max(same) = 1, 0, max(other))").alias("other"), F.min("d").alias("d")).alias("fit"))
     meet = meet.withColumn("least", F.min("fit").over(Window.partitionBy("l"))).where("fit = least and fit.other = 0")
     meet = meet.groupBy("l").agg(F.count("*").alias("c"), F.max("root").alias("root")).where("c = 1").select(F.col("l").alias("id"), "root")
-    root = root.unionByName(bare.select("id").join(meet, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    root = root.unionByName(bare.select("id").join(meet.hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
 
-    full = read.withColumn("id", F.concat_ws("|", "cls", "disc", "fam")).join(root, "id").select("name", "cls", "root", "given")
+    full = read.withColumn("id", F.concat_ws("|", "cls", "disc", "fam")).join(root.hint("merge"), "id").select("name", "cls", "root", "given")
     firm = full.where("cls <> 'P'").select("name", F.col("root").alias("entity"))
     person = full.where("cls = 'P'")
     given = person.where("length(given) > 2").select("root", F.col("given").alias("whole")).distinct()
-    short = person.where("length(given) <= 2").select("root", "given").distinct().join(given, "root").where("startswith(whole, given)")
+    short = person.where("length(given) <= 2").select("root", "given").distinct().join(given.hint("merge"), "root").where("startswith(whole, given)")
     short = short.groupBy("root", "given").agg(F.count("*").alias("c"), F.max("whole").alias("whole")).where("c = 1").drop("c")
-    person = person.join(short, ["root", "given"], "left").select("name", F.concat_ws("|", "root", F.coalesce("whole", "given")).alias("entity"))
+    person = person.join(short.hint("merge"), ["root", "given"], "left").select("name", F.concat_ws("|", "root", F.coalesce("whole", "given")).alias("entity"))
     return firm.unionByName(person)
 
 
@@ -137,4 +133,4 @@ def variant_pairs(linked: DataFrame) -> DataFrame:
     """(name, entity) -> (name_a, name_b) with name_a < name_b, each pair once; hot entities are split into parts."""
     a = linked.select(F.col("name").alias("name_a"), "entity", F.expr(f"pmod(hash(name), {SALTS})").alias("salt"))
     b = linked.select(F.col("name").alias("name_b"), "entity", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return a.join(b, ["entity", "salt"]).where("name_a < name_b").select("name_a", "name_b")
+    return a.join(b.hint("merge"), ["entity", "salt"]).where("name_a < name_b").select("name_a", "name_b")
