@@ -117,16 +117,17 @@ def link_entities(names: DataFrame, ref: DataFrame) -> DataFrame:
     meet = meet.groupBy("l", "root").agg(F.struct(F.expr("if(max(same) = 1, 0, max(other))").alias("other"), F.min("d").alias("d")).alias("fit"))
     meet = meet.withColumn("least", F.min("fit").over(Window.partitionBy("l"))).where("fit = least and fit.other = 0")
     meet = meet.groupBy("l").agg(F.count("*").alias("c"), F.max("root").alias("root")).where("c = 1").select(F.col("l").alias("id"), "root")
-    root = root.unionByName(bare.select("id").join(meet.hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    root = cut(root.unionByName(bare.select("id").join(meet.hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))))
 
     full = read.withColumn("id", F.concat_ws("|", "cls", "disc", "fam")).join(root.hint("merge"), "id").select("name", "cls", "root", "given")
+    full = cut(full)
     firm = full.where("cls <> 'P'").select("name", F.col("root").alias("entity"))
     person = full.where("cls = 'P'")
     given = person.where("length(given) > 2").select("root", F.col("given").alias("whole")).distinct()
     short = person.where("length(given) <= 2").select("root", "given").distinct().join(given.hint("merge"), "root").where("startswith(whole, given)")
     short = short.groupBy("root", "given").agg(F.count("*").alias("c"), F.max("whole").alias("whole")).where("c = 1").drop("c")
     person = person.join(short.hint("merge"), ["root", "given"], "left").select("name", F.concat_ws("|", "root", F.coalesce("whole", "given")).alias("entity"))
-    return firm.unionByName(person)
+    return cut(firm.unionByName(person))
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:
