@@ -5,8 +5,9 @@
 2. Words of all records are counted and grouped by their confusable-glyph skeleton. A form is misread when a far more
    frequent form of its group turns into it by known confusions, and, where the two are close in number, the words
    before it support the frequent form.
-3. A second pass looks up only words outside the most frequent good forms, the two halves of divided words and
-   neighbouring fragments whose union is a word.
+3. Neighbouring pieces are counted with the words; each different pair is a torn word if its union is far more
+   frequent than the rarer piece. A second pass looks up only words outside the most frequent good forms, the two
+   halves of divided words and the torn pairs.
 4. Paragraphs are put together by SQL windows over the lines.
 
 Defined results: null and empty texts give no row; a repeated row (same table and id) counts once; texts are read
@@ -16,9 +17,11 @@ whole, whatever their length; on a tie of two forms the one first in binary orde
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +33,8 @@ from paperloom.session import cut, width
 KNOWN = 20_000
 #: A frequent form must be so many times as frequent as its misread one; below SURE times the context must agree.
 RATIO, SURE = 4, 40
-#: A form below this share of all words may be a fragment of a torn one.
-FRAGMENT = 2e-5
+#: A torn word's union must be so frequent.
+WHOLE = 5
 
 _CLASS = str.maketrans({**dict.fromkeys("céèêë", "e"), "f": "t", **dict.fromkeys("l1|!", "i"), "9": "g", "q": "g", **dict.fromkeys("0ö6ó", "o"), **dict.fromkeys("uüú", "n"), "b": "h", "8": "h", "5": "s", **dict.fromkeys("äáàâ", "a"), "í": "i", "î": "i"})
 # What scans make of a letter or pair, right form first.
@@ -200,10 +203,20 @@ def is_word(w: str) -> bool:
     return letters >= 2 and letters >= 0.5 * len(w) and sum(c.isdigit() for c in w) <= 3
 
 
+def pieces(words: list[str], parts: list[str], k: int, rest: bool) -> tuple[str, str] | None:
+    """The word before place k and the word there, if a blank between them may have torn one word."""
+    if k and parts[k] == " " and not (k == 1 and rest) and words[k][0].islower():
+        a, low = words[k - 1].lower(), words[k].lower()
+        if a.isalnum() and not a.isdigit() and len(a) + len(low) > 3:
+            return a, low
+    return None
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Forms (with compounds, hyphen kept) and pairs of a form with the word before it, counted within each batch."""
+    """Forms (with compounds, hyphen kept), pairs of a form with the word before it, and pairs of pieces, counted within each batch."""
     for b in batches:
         seen: Counter = Counter()
+        torn: set = set()
         for text, kinds in zip(b.text, b.kinds):
             for _, words, parts, cutted, rest in body_words(text, kinds):
                 low = [w.lower() for w in words]
@@ -217,7 +230,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             seen[w, low[k - 1]] += 1
                     if k and parts[k] == "-" and is_word(w) and is_word(low[k - 1]):
                         seen[f"{low[k - 1]}-{w}", ""] += 1
-        yield pd.DataFrame([(w, p, n, skeleton(w.replace("-", ""))) for (w, p), n in seen.items()], columns=["form", "before", "n", "skel"])
+                    if pair := pieces(words, parts, k, rest):
+                        torn.add(pair)
+        rows = [(w, p, n, skeleton(w.replace("-", "")), False) for (w, p), n in seen.items()] + [(w, p, 0, skeleton(p + w), True) for p, w in torn]
+        yield pd.DataFrame(rows, columns=["form", "before", "n", "skel", "torn"])
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,10 +248,15 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["skel", "form", "n", "right", "rn"]).astype({"rn": "Int64"})
 
 
-def dictionary(pages: DataFrame) -> DataFrame:
-    """(skel, form, n, right): every form of the corpus with its count, and its right form where it is misread."""
-    seen = pages.select("text", "kinds").mapInPandas(_count, "form string, before string, n long, skel string")
-    seen = cut(seen.groupBy("form", "before", "skel").agg(F.sum("n").alias("n")))
+def dictionary(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(skel, form, n, right): every form of the corpus with its count, and its right form where it is misread.
+
+    With it (skel, a, b): every different pair of neighbouring pieces under the skeleton of its union.
+    """
+    seen = pages.select("text", "kinds").mapInPandas(_count, "form string, before string, n long, skel string, torn boolean")
+    seen = cut(seen.groupBy("form", "before", "skel", "torn").agg(F.sum("n").alias("n")))
+    pairs = seen.where("torn").select("skel", F.col("before").alias("a"), F.col("form").alias("b"))
+    seen = seen.where("not torn").drop("torn")
     forms = seen.where("before = ''").groupBy("skel").agg(F.collect_list(F.struct("n", "form")).alias("forms"))
     judged = cut(forms.mapInPandas(_judge, "skel string, form string, n long, right string, rn long"))
     # close in number: at least half of the uses must come after words that the frequent form follows more often
@@ -243,13 +264,44 @@ def dictionary(pages: DataFrame) -> DataFrame:
     pair = seen.where("before <> ''").select("form", "before", F.col("n").alias("uses"))
     use = near.join(pair, "form").join(pair.select(F.col("form").alias("right"), "before", F.col("uses").alias("right_uses")), ["right", "before"], "left")
     doubt = use.groupBy("form", "right").agg((F.sum(F.expr("if(right_uses >= uses, uses, 0)")) / F.sum("uses")).alias("share")).where("share < 0.5").select("form", F.lit(True).alias("doubted"))
-    return judged.join(doubt, "form", "left").select("skel", "form", "n", F.expr("if(doubted, null, right)").alias("right"))
+    return judged.join(doubt, "form", "left").select("skel", "form", "n", F.expr("if(doubted, null, right)").alias("right")), pairs
 
 
-def _lookups(known: dict[str, int], often: float):
+def _union(whole: str, found: dict[str, tuple]) -> tuple[int, str | None]:
+    """Count and right form of a word among the forms of its group; where it is none, those of the form it is misread from."""
+    n, right = found.get(whole, (0, None))
+    if not n or right:
+        best = sorted(((-m, f) for f, (m, r) in found.items() if not r and "-" not in f and explains(f, whole)))
+        if best:
+            n, right = -best[0][0], best[0][1]
+    return n, right
+
+
+def _unions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for skel, x, y, forms in zip(b.skel, b.a, b.b, b.forms):
+            n, right = _union(x + y, {f["form"]: (f["n"], f["right"]) for f in forms})
+            if n >= WHOLE:
+                rows.append((skel, x, y, n, right or x + y))
+        yield pd.DataFrame(rows, columns=["skel", "a", "b", "n", "right"])
+
+
+def torn_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(skel, a, b, right) of the pairs whose union is far more frequent than the rarer piece; misread pieces count 0."""
+    group = words.groupBy("skel").agg(F.collect_list(F.struct("form", "n", "right")).alias("forms"), F.max("n").alias("most")).where(f"most >= {WHOLE}").drop("most")
+    u = pairs.join(group, "skel").mapInPandas(_unions, "skel string, a string, b string, n long, right string")
+    good = words.where("right is null and form not like '%-%'")
+    u = u.join(good.select(F.col("form").alias("a"), F.col("n").alias("na")), "a", "left").join(good.select(F.col("form").alias("b"), F.col("n").alias("nb")), "b", "left")
+    return u.where(f"n >= {RATIO} * least(coalesce(na, 0), coalesce(nb, 0))").select("skel", "a", "b", "right")
+
+
+def _lookups(known: set[str], torn: np.ndarray):
+    """torn: sorted checksums of the torn pairs; another pair of equal checksum is asked for and not found."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows, asked, sums = [], [], []
             for tab, rid, text, kinds in zip(b.rec_table, b.rec_id, b.text, b.kinds):
                 for i, words, parts, cutted, rest in body_words(text, kinds):
                     last = len(words) - 1
@@ -259,15 +311,17 @@ def _lookups(known: dict[str, int], often: float):
                         if (k == 0 and rest) or (k == last and joins):
                             continue
                         if low not in known and is_word(w):
-                            rows.append((tab, rid, i, -1, "w", skeleton(low), low, "", 0, ""))
-                        if k and parts[k] == " " and not (k == 1 and rest) and w[0].islower():
-                            a = words[k - 1].lower()
-                            if (known.get(a, 0) < often or known.get(low, 0) < often) and a.isalnum() and not a.isdigit() and len(a) + len(low) > 3:
-                                rows.append((tab, rid, i, -1, "t", skeleton(a + low), a, low, min(known.get(a, 0), known.get(low, 0)), ""))
+                            rows.append((tab, rid, i, -1, "w", skeleton(low), low, "", ""))
+                        if pair := pieces(words, parts, k, rest):
+                            asked.append((tab, rid, i, *pair))
+                            sums.append(zlib.crc32(" ".join(pair).encode()))
                     if joins:
                         a, mark, j, c = cutted
-                        rows.append((tab, rid, i, j, "h", skeleton((a + c).lower()), a.lower(), c.lower(), 0, mark))
-            yield pd.DataFrame(rows, columns=["rec_table", "rec_id", "line_no", "line2", "ask", "skel", "a", "b", "least", "mark"])
+                        rows.append((tab, rid, i, j, "h", skeleton((a + c).lower()), a.lower(), c.lower(), mark))
+            for at in np.flatnonzero(np.isin(np.array(sums, np.int64), torn)):
+                tab, rid, i, a, c = asked[at]
+                rows.append((tab, rid, i, -1, "t", skeleton(a + c), a, c, ""))
+            yield pd.DataFrame(rows, columns=["rec_table", "rec_id", "line_no", "line2", "ask", "skel", "a", "b", "mark"])
 
     return run
 
@@ -283,22 +337,19 @@ def _first_difference(right: str, seen: str, at: int) -> int:
 def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for tab, rid, i, j, ask, x, y, least, mark, forms in zip(b.rec_table, b.rec_id, b.line_no, b.line2, b.ask, b.a, b.b, b.least, b.mark, b.forms):
+        for tab, rid, i, j, ask, x, y, mark, forms, torn in zip(b.rec_table, b.rec_id, b.line_no, b.line2, b.ask, b.a, b.b, b.mark, b.forms, b.torn):
             found = {f["form"]: (f["n"], f["right"]) for f in forms} if forms is not None else {}
             if ask == "w":
                 if x in found and found[x][1]:
                     rows.append((tab, rid, i, "misread", x, found[x][1]))
                 continue
-            whole = x + y
-            n, right = found.get(whole, (0, None))
-            if not n or right:
-                best = sorted(((-m, f) for f, (m, r) in found.items() if not r and "-" not in f and explains(f, whole)))
-                if best:
-                    n, right = -best[0][0], best[0][1]
             if ask == "t":
-                if n >= 5 and n >= RATIO * least:
-                    rows.append((tab, rid, i, "misread", f"{x} {y}", right or whole))
+                for p in torn if torn is not None else ():
+                    if (p["a"], p["b"]) == (x, y):
+                        rows.append((tab, rid, i, "misread", f"{x} {y}", p["right"]))
                 continue
+            whole = x + y
+            n, right = _union(whole, found)
             kept = found.get(f"{x}-{y}", (0, None))[0]
             if mark != "-" or n > kept or (n == 0 and kept == 0 and not any(f.replace("-", "") == whole for f in found)):
                 rows.append((tab, rid, i, "hyphen", x, y))
@@ -310,12 +361,14 @@ def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def damages(pages: DataFrame) -> DataFrame:
     """(rec_table, rec_id, line_no, kind, seen, right) of divided, misread and torn words; pages from laid_out()."""
-    words = cut(dictionary(pages))
-    rows = words.where("right is null and form not like '%-%'").orderBy(F.desc("n"), "form").limit(KNOWN).select("form", "n").collect()
-    known = {r.form: r.n for r in rows}
-    total = words.agg(F.sum("n")).first()[0] or 0
-    asks = pages.mapInPandas(_lookups(known, max(RATIO, FRAGMENT * total)), "rec_table string, rec_id long, line_no long, line2 long, ask string, skel string, a string, b string, least long, mark string")
+    words, pairs = dictionary(pages)
+    words = cut(words)
+    torn = cut(torn_pairs(pairs, words))
+    known = {r.form for r in words.where("right is null and form not like '%-%'").orderBy(F.desc("n"), "form").limit(KNOWN).select("form").collect()}
+    sums = torn.select(F.crc32(F.concat_ws(" ", "a", "b").cast("binary")).alias("c")).distinct().toPandas().c.to_numpy(np.int64)
+    asks = pages.mapInPandas(_lookups(known, np.sort(sums)), "rec_table string, rec_id long, line_no long, line2 long, ask string, skel string, a string, b string, mark string")
     group = words.groupBy("skel").agg(F.collect_list(F.struct("form", "n", "right")).alias("forms"))
+    group = group.join(torn.groupBy("skel").agg(F.collect_list(F.struct("a", "b", "right")).alias("torn")), "skel", "left")
     return asks.join(group, "skel", "left").drop("skel").mapInPandas(_decide, "rec_table string, rec_id long, line_no long, kind string, seen string, right string")
 
 

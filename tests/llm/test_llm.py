@@ -228,3 +228,12 @@ def test_queries_are_registered():
     from paperloom.llm.queries import QUERIES
 
     assert {f"p{n}_" for n in range(2, 9)} <= {k[:3] for k in QUERIES}
+
+
+def test_torn_words_of_frequent_pieces(spark):
+    # both pieces stand alone more often than any floor that grows with the table, and yet the whole is far more frequent
+    rows = [("t", i, "die rechnung ist da\n" * 40) for i in range(50)] + [("t", 100 + i, "das rec steht hier\ndas hnung steht dort") for i in range(60)]
+    rows += [("t", 500, "das blatt der\nrec hnung fehlt"), ("t", 501, "ist da")]
+    df = spark.createDataFrame(rows, "rec_table string, rec_id long, text string")
+    assert [(r.rec_id, r.line_no, r.kind) for r in scans.find_damage(df).where("kind = 'misread'").collect()] == [(500, 1, "misread")]
+    assert [r.text for r in scans.repaired(df).where("rec_id = 500").collect()] == ["das blatt der rechnung fehlt"]
