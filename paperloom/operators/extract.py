@@ -21,6 +21,8 @@ TYPE_KEYWORDS = (
     ("PRUEFBERICHT", "pruefbericht", 0.9), ("PRUEFBERICHT", "inspection report", 0.9), ("PRUEFBERICHT", "messwert", 0.3),
     ("AUFTRAGSBESTAETIGUNG", "auftragsbestaetigung", 0.9), ("REKLAMATION", "reklamation", 0.9), ("REKLAMATION", "complaint", 0.9), ("TELEFONNOTIZ", "telefonnotiz", 0.9),
 )
+# The month names the reference reads.
+MONTHS = {n: k for k, names in enumerate(("jan januar", "feb februar", "mar maer maerz märz", "apr april", "mai may", "jun juni", "jul juli", "aug august", "sep sept september", "okt oktober", "nov november", "dez dezember"), 1) for n in names.split()}
 # The weight of a segment of the page.
 SEGMENT_WEIGHT = {"header": 2.0, "body": 1.0, "footer": 0.5}
 
@@ -54,11 +56,25 @@ def recipient_block(ls: DataFrame, max_lines: int = 15) -> DataFrame:
 
 
 def date_hits(ls: DataFrame) -> DataFrame:
-    """Numeric dates with the score of their line: 10, +50 a date label, +20 the first ten lines, -60 a due date."""
-    raw = F.explode(F.regexp_extract_all("line", F.lit(r"([0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})"), F.lit(1)))
+    """Dates with the score of their line: 10, +50 a date label (month names 60, +40), +20 the first ten lines, -60 a due date.
+
+    Read are d.m.yyyy, yyyy-mm-dd, d/m/yyyy, both with a year of two digits (from 70 on 19xx) and d. month yyyy.
+    """
+    found = lambda p: F.regexp_extract_all("line", F.lit(p), F.lit(0))
+    full = F.concat(found(r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}"), found(r"(?<![0-9/.])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])"))
+    # a telephone number of pairs is no date
+    short = found(r"(?<![0-9/.])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{2}(?![./]?[0-9])")
+    short = F.transform(short, lambda x: F.concat(F.regexp_replace(x, "[0-9]{2}$", ""), F.when(F.right(x, F.lit(2)) >= "70", "19").otherwise("20"), F.right(x, F.lit(2))))
+    name = r"(?<![0-9])([0-9]{1,2})[.\s]+(\p{L}+)[.\s]+([0-9]{4})(?![0-9])"
+    months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
+    part = lambda x, k: F.regexp_extract(x, name, k)
+    named = F.transform(found(name), lambda x: F.concat(part(x, 1), F.lit("."), F.element_at(months, F.lower(part(x, 2))).cast("string"), F.lit("."), part(x, 3)))
+    of = lambda raws, base, label: F.transform(raws, lambda x: F.struct(x.alias("raw"), F.lit(base).alias("base"), F.lit(label).alias("label")))
+    hit = F.explode(F.concat(of(F.concat(full, short), 10, 50), of(named, 60, 40)))
     low = F.lower("line")
-    score = F.lit(10) + F.when(low.rlike("datum|dated|date|fecha|vom "), 50).otherwise(0) + F.when(F.col("line_no") < 10, 20).otherwise(0) - F.when(low.rlike("fällig|zahlbar bis|liefertermin|abholung"), 60).otherwise(0)
-    return ls.select("doc_id", "line_no", score.alias("score"), raw.alias("raw")).withColumn("date", parse_date(F.col("raw"), ("d.M.yyyy", "yyyy-MM-dd"))).where("date is not null")
+    score = F.col("h.base") + F.when(low.rlike("datum|dated|date|fecha|vom "), F.col("h.label")).otherwise(0) + F.when(F.col("line_no") < 10, 20).otherwise(0) - F.when(low.rlike("fällig|zahlbar bis|liefertermin|abholung"), 60).otherwise(0)
+    hits = ls.withColumn("h", hit).select("doc_id", "line_no", score.alias("score"), F.col("h.raw").alias("raw"))
+    return hits.withColumn("date", parse_date(F.col("raw"), ("d.M.yyyy", "yyyy-MM-dd", "d/M/yyyy"))).where("date is not null")
 
 
 def best_dates(ls: DataFrame) -> DataFrame:

@@ -170,3 +170,16 @@ def test_entry_without_the_subpackage():
 
     code = "import sys; sys.modules['paperloom.llm'] = None; import __spark_entry__ as e; assert 'p1_found' in e.queries() and 'p6_ids' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+@pytest.mark.parametrize(
+    "line,date,score",
+    [
+        ("Rechnung Nr. 4711   Datum: 31. Oktober 2021", "2021-10-31", 120), ("Liste 3. Sept. 1999", "1999-09-03", 80), ("Auftrag vom 1. März 2024, bezahlt 02.02.2024", "2024-03-01", 120),
+        ("Date : 27/01/2024", "2024-01-27", 80), ("Datum 5.3.69", "2069-03-05", 80), ("Datum 05/03/70.", "1970-03-05", None), ("Datum 05/03/98.", "1998-03-05", 80), ("Tel. 06.10.05.24.09", None, None), ("Zeichnung 31. Postfach 2021", None, None),
+    ],
+)
+def test_dates_of_all_shapes(spark, line, date, score):
+    ls = spark.createDataFrame([(1, 0, line)], "doc_id long, line_no int, line string")
+    got = [(str(r.date), r.score) for r in extract.best_dates(ls).collect()]
+    assert got == ([(date, score)] if score else [])
