@@ -86,12 +86,13 @@ def covered_pairs(f: DataFrame) -> DataFrame:
     r = r.groupBy("owner_scope", "rank").agg(F.min_by(F.struct("upload_id", "numbers", "paras", "keys"), "upload_id").alias("s"))
     r = cut(r.select("owner_scope", "s.*"))
     k = r.select("owner_scope", "upload_id", F.explode("keys").alias("key"))
-    # first the smallest upload of each key, then the pairs of those that it doesn't cover
+    # first the smallest upload of each key; those that it doesn't cover meet all others of the key, covered or not,
+    # as cover isn't transitive: two uploads that are never compared are both covered by the smallest one
     first = k.groupBy("owner_scope", "key").agg(F.min("upload_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("owner_scope", "key", "a")
     star = k.join(first, ["owner_scope", "key"]).where("upload_id <> a").select("owner_scope", "key", "a", F.col("upload_id").alias("b"))
     proved = cut(covers(star.select("a", "b").distinct(), r))
     rest = star.join(proved, ["a", "b"], "left_anti").select("owner_scope", "key", "b")
-    pairs = rest.withColumnRenamed("b", "a").join(rest, ["owner_scope", "key"]).where("a < b").select("a", "b").distinct()
+    pairs = rest.withColumnRenamed("b", "c").join(star.drop("a"), ["owner_scope", "key"]).where("b <> c").select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
     return proved.unionByName(covers(pairs, r))
 
 

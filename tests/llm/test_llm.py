@@ -237,3 +237,11 @@ def test_torn_words_of_frequent_pieces(spark):
     df = spark.createDataFrame(rows, "rec_table string, rec_id long, text string")
     assert [(r.rec_id, r.line_no, r.kind) for r in scans.find_damage(df).where("kind = 'misread'").collect()] == [(500, 1, "misread")]
     assert [r.text for r in scans.repaired(df).where("rec_id = 500").collect()] == ["das blatt der rechnung fehlt"]
+
+
+def test_copy_of_a_copy(spark):
+    # 3 shares its only key with 1 and 2 and is covered by 2 alone, which 1 covers
+    text = lambda ns: "\n".join(f"Die Position {n} wurde geliefert" for n in (471147, *ns))
+    docs = [(1, text(range(1001, 1005))), (2, text(range(1003, 1007))), (3, text(range(1005, 1009)))]
+    u = spark.createDataFrame([(i, i - 1, "a", f"s{i}", i) for i in (1, 2, 3)], "upload_id long, batch_no int, owner_scope string, sha256 string, doc_id long")
+    assert {tuple(r) for r in history.find_copies(u, spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {(1, 2), (1, 3)}
