@@ -73,10 +73,39 @@ def known_and_new(uploads: DataFrame, registered: DataFrame) -> DataFrame:
 
 
 def unique_names(df: DataFrame, folder: str, name: str, order: str) -> DataFrame:
-    """Names made unique per folder: the first keeps its name, the next get _01, _02 before the ending."""
+    """Names made unique per folder, in the given order: a free name is kept, else it gets the first free of _01, _02, ... before the ending.
+
+    Where no numbered name meets another one, a window numbers them. Else the names of one stem, numbers cut off, and
+    ending are named one after the other, as each name depends on those taken before.
+    """
     k = F.row_number().over(Window.partitionBy(folder, name).orderBy(order)) - 1
     stem, ext = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    return df.withColumn("k", k).withColumn("unique_name", F.when(F.col("k") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.lpad(F.col("k").cast("string"), 2, "0"), ext))).drop("k")
+    x = df.withColumn("k", k).withColumn("family", F.concat(F.regexp_replace(stem, r"(_[0-9]{2,})+$", ""), ext))
+    x = x.withColumn("unique_name", F.when(F.col("k") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.format_string("%02d", "k"), ext)))
+    met = (F.count("*").over(Window.partitionBy(folder, "unique_name")) > 1) & F.col("unique_name").isNotNull()
+    x = x.withColumn("met", met).withColumn("met", F.max("met").over(Window.partitionBy(folder, "family")))
+    out = [*[c for c in df.columns if c != "unique_name"], "unique_name"]
+    x = x.withColumn("place", F.row_number().over(Window.partitionBy(folder, "family").orderBy(order)))
+    rows = F.array_sort(F.collect_list(F.struct("place", F.struct(*out).alias("row"))), lambda a, b: a["place"] - b["place"])
+    busy = x.where("met").groupBy(folder, "family").agg(rows.alias("rows")).select("rows", F.udf(_one_after_another, "array<string>")(F.transform("rows", lambda r: r["row"][name])).alias("names"))
+    busy = busy.select(F.explode(F.arrays_zip("rows", "names")).alias("z")).select("z.rows.row.*", F.col("z.names").alias("new")).withColumn("unique_name", F.col("new")).drop("new")
+    return x.where("not met").select(*out).unionByName(busy)
+
+
+def _one_after_another(names: list[str]) -> list[str]:
+    taken: dict[str, None] = {}  # in order
+    used: dict[str, int] = {}
+    for n in names:
+        cut = n.rfind(".") if "." in n else len(n)
+        k, new = used.get(n, 0), n
+        if k:
+            new = f"{n[:cut]}_{k:02d}{n[cut:]}"
+        while new in taken:
+            k += 1
+            new = f"{n[:cut]}_{k:02d}{n[cut:]}"
+        taken[new] = None
+        used[n] = k
+    return list(taken)
 
 
 def merge_aliases(suppliers: DataFrame, norm) -> DataFrame:

@@ -183,3 +183,11 @@ def test_dates_of_all_shapes(spark, line, date, score):
     ls = spark.createDataFrame([(1, 0, line)], "doc_id long, line_no int, line string")
     got = [(str(r.date), r.score) for r in extract.best_dates(ls).collect()]
     assert got == ([(date, score)] if score else [])
+
+
+def test_names_stay_unique(spark):
+    rows = [("d", "h.pdf", i) for i in range(105)] + [("d", n, 200 + i) for i, n in enumerate(["scan.pdf", "scan.pdf", "scan_01.pdf", "scan.pdf", "scan_01.pdf"])] + [("e", "scan_01.pdf", 300), ("e", None, 301), (None, "a", 302), (None, "a", 303)]
+    got = {r.o: r.unique_name for r in store.unique_names(spark.createDataFrame(rows, "dir string, name string, o int"), "dir", "name", "o").collect()}
+    assert [got[i] for i in (0, 10, 99, 100, 104)] == ["h.pdf", "h_10.pdf", "h_99.pdf", "h_100.pdf", "h_104.pdf"]
+    assert [got[200 + i] for i in range(5)] == ["scan.pdf", "scan_01.pdf", "scan_01_01.pdf", "scan_02.pdf", "scan_01_02.pdf"]
+    assert [got[i] for i in (300, 301, 302, 303)] == ["scan_01.pdf", None, "a", "a_01"] and len(got) == len(rows)
