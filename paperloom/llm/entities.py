@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.names import MAX_REFERENCE, build_lexicon, parse, skeleton
 from paperloom.session import cut
 
+#: A root used so many times as often as a spelling, with no other town, takes it however many raw strings write it.
+USES = 4
 #: Pairs of one entity are made in so many parts, as one firm may hold a third of all strings.
 SALTS = 8
 
@@ -91,8 +93,10 @@ def link_entities(names: DataFrame, ref: DataFrame) -> DataFrame:
     node = cut(node.select(F.concat_ws("|", "cls", "disc", "fam").alias("id"), "cls", "disc", F.col("fam").alias("txt"), "strings", "uses", "town"))
 
     # ids carry what later steps compare, so nothing is joined back; joins are merges, as both sides grow with the data
-    known = node.where("cls <> 'N'").select(F.struct("strings", "uses", "id", "txt").alias("id"), "txt", "cls", "disc")
-    pairs = segment_join(known, known, ["cls", "disc"]).where("(r.strings, r.uses, r.id) > (l.strings, l.uses, l.id) and (l.strings <= 2 or (r.strings >= 3 * l.strings and d <= 2))")
+    known = node.where("cls <> 'N'").select(F.struct("strings", "uses", "id", "txt", "town").alias("id"), "txt", "cls", "disc")
+    pairs = segment_join(known, known, ["cls", "disc"]).where("(r.strings, r.uses, r.id) > (l.strings, l.uses, l.id)")
+    # the ratio of uses doesn't change with the number of rows, as the number of raw strings does
+    pairs = pairs.where(f"l.strings <= 2 or (r.strings >= 3 * l.strings and d <= 2) or (r.uses >= {USES} * l.uses and (l.town = '' or r.town = '' or l.town = r.town))")
     up = pairs.groupBy(F.col("l.id").alias("id")).agg(F.min(F.struct("d", F.expr("-r.strings as s"), F.expr("-r.uses as u"), "r")).alias("best"))
     up = up.select("id", F.struct("best.r.id", "best.r.txt").alias("up"))
     root = cut(known.select("id.id", "txt").join(up.hint("merge"), "id", "left").select("id", "txt", F.coalesce("up", F.struct("id", "txt")).alias("root")))
