@@ -40,14 +40,21 @@ for _line in GIVEN_FORMS.replace("\n", "|").split("|"):
     for _form in _line.split():
         GIVEN[_form] = tuple(dict.fromkeys((*GIVEN.get(_form, ()), _line.split()[0])))
 
+# The accented letters of western names without their accents.
+_PLAIN = {ord(c): unicodedata.normalize("NFKD", c)[0] for c in "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"} | {ord("ß"): "ss"}
 _GLYPH = str.maketrans({"0": "o", "1": "l", "5": "s", "6": "o", "8": "b", "9": "g", "|": "l"})
 
 
+_MISREAD = re.compile(r"(?<=[a-z])[015689|]+|[015689|]+(?=[a-z])")
+
+
 def fold(text: str) -> str:
     """Lower case without accents, umlauts in any of their spellings as the plain vowel, misread digits as letters."""
-    t = unicodedata.normalize("NFKD", text.lower().replace("ß", "ss"))
-    t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    t = re.sub(r"(?<=[a-z])[015689|]+|[015689|]+(?=[a-z])", lambda m: m[0].translate(_GLYPH), t)
+    t = text.lower().translate(_PLAIN)
+    if not t.isascii():
+        t = unicodedata.normalize("NFKD", t)
+        t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+    t = _MISREAD.sub(lambda m: m[0].translate(_GLYPH), t)
     return t.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
@@ -56,13 +63,24 @@ def skeleton(word: str) -> str:
     return word.replace("rn", "m").replace("cl", "d").replace("ii", "u").replace("vv", "w")
 
 
+_OTHER = re.compile(r"[^a-z ]")
+
+
 def is_missing(text: str | None) -> bool:
     if text is None:
         return True
-    letters = re.sub(r"[^a-z ]", "", fold(text)).strip()
+    letters = _OTHER.sub("", fold(text)).strip()
     return letters in MISSING or letters.replace(" ", "") in MISSING
 
 
+def mask(word: str) -> int:
+    """The letters of a word as bits; an edit adds and removes one letter at most, so masks bound a distance from below."""
+    m = 0
+    for c in word:
+        m |= 1 << (ord(c) & 31)
+    return m
+
+
 def _last_row(a: str, b: str, k: int) -> list[int] | None:
     """Distances of a to each beginning of b in a band of width k; None when all are beyond k."""
     m, big = len(b), k + 1
@@ -138,12 +156,19 @@ class Lexicon:
     memo: dict = field(default_factory=dict)
     towns_seen: dict = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.trade_masks = [(t, mask(t)) for t in self.trades]
+        self.town_masks = [(t, mask(t)) for t in self.towns]
+
     def trade_of(self, word: str) -> tuple[str, float] | None:
         """The trade a word or a run of words spells, shortens or abbreviates, with a cost."""
         if word in self.memo:
             return self.memo[word]
-        best = None
-        for t in self.trades:
+        best, letters = None, mask(word)
+        for t, have in self.trade_masks:
+            over = (letters & ~have).bit_count()
+            if over > 3:
+                continue
             cost = None
             if word == t:
                 cost = 0.0
@@ -151,9 +176,9 @@ class Lexicon:
                 cost = 0.3
             elif len(word) >= 4 and abs(len(word) - len(t)) <= 3:
                 k = slack(len(t))
-                if (d := distance(word, t, k)) <= k:
+                if over <= k and (have & ~letters).bit_count() <= k and (d := distance(word, t, k)) <= k:
                     cost = d * 1.0
-            if cost is None and 6 <= len(word) < len(t) and word not in GIVEN:
+            if cost is None and over <= 2 and 6 <= len(word) < len(t) and word not in GIVEN:
                 k = 1 if len(word) < 8 else 2
                 if (d := prefix_distance(word, t, k)) <= k:
                     cost = 0.5 + d
@@ -175,8 +200,9 @@ class Lexicon:
         return self.towns_seen[word]
 
     def _town_of(self, word: str) -> str | None:
-        for t in self.towns:
-            if word == t or (len(word) >= 5 and abs(len(word) - len(t)) <= 2 and distance(word, t, 1 if len(t) < 8 else 2) <= (1 if len(t) < 8 else 2)):
+        letters = mask(word)
+        for t, have in self.town_masks:
+            if word == t or (len(word) >= 5 and abs(len(word) - len(t)) <= 2 and (letters & ~have).bit_count() <= 2 and (have & ~letters).bit_count() <= 2 and distance(word, t, 1 if len(t) < 8 else 2) <= (1 if len(t) < 8 else 2)):
                 return t
         return None
 
@@ -217,22 +243,30 @@ class Name:
 _LEGAL_DOTTED = re.compile(r"(?i)(?<![^\W\d_])(g\.?\s?m\.?\s?b\.?\s?h\.?|ges\.?\s?m\.?\s?b\.?\s?h\.?|o\.\s?h\.\s?g\.?|e\.\s?kfm\.?|e\.?\s?k\.?|a\.\s?g\.|k\.\s?g\.|s\.\s?e\.|u\.\s?g\.)(?![^\W\d_])")
 
 
+_TOGETHER = re.compile(r"(?<=[a-zäöüß])(?=[A-ZÄÖÜ][a-zäöüß]|[A-Z]{1,2}-)")  # run-together words
+_WORDS = re.compile(r"[^a-z]+")
+
+
 def words_of(text: str) -> list[str]:
-    text = unicodedata.normalize("NFC", text)
-    text = re.sub(r"(?<=[a-zäöüß])(?=[A-ZÄÖÜ][a-zäöüß]|[A-Z]{1,2}-)", " ", text)  # run-together words
-    return [w for w in re.split(r"[^a-z]+", fold(text)) if w]
+    text = text if text.isascii() else unicodedata.normalize("NFC", text)
+    text = _TOGETHER.sub(" ", text)
+    return [w for w in _WORDS.split(fold(text)) if w]
+
+
+_GIVEN_MASKS = [(g, mask(g)) for g in GIVEN]
 
 
 @lru_cache(200_000)
 def given_of(word: str) -> str | None:
     if word in GIVEN:
         return GIVEN[word][0]
+    letters = mask(word)
     if len(word) < 5:
         return next((GIVEN[g][0] for g in GIVEN if len(word) == 4 and len(g) >= 4 and word[0] == g[0] and distance(word, g, 1) <= 1), None)
     best = None
-    for g in GIVEN:
+    for g, have in _GIVEN_MASKS:
         k = 1 if len(g) < 6 else 2
-        if abs(len(g) - len(word)) <= k and (d := distance(word, g, k)) <= k and (best is None or d < best[0]):
+        if abs(len(g) - len(word)) <= k and (letters & ~have).bit_count() <= k and (have & ~letters).bit_count() <= k and (d := distance(word, g, k)) <= k and (best is None or d < best[0]):
             best = (d, GIVEN[g][0])
     return best[1] if best else None
 
@@ -245,7 +279,8 @@ def parse(text: str, lex: Lexicon) -> Name | None:
     legal = bare != text
     words = words_of(bare)
     rest, sons = [], False
-    words = [x for w in words for x in re.sub(r"(?<=[a-z]{4})(?:und|u)?sohne|^(?:und|u)?sohne(?=[a-z]{4})", " sohne ", w).split()]
+    if any(SONS in w for w in words):
+        words = [x for w in words for x in re.sub(r"(?<=[a-z]{4})(?:und|u)?sohne|^(?:und|u)?sohne(?=[a-z]{4})", " sohne ", w).split()]
     joined = not re.search(r"[&+]", text) and not AND & set(words)
     for k, w in enumerate(words):
         if joined and w.endswith("und") and len(w) > 8 and SONS in words[k + 1 : k + 2]:
@@ -329,19 +364,20 @@ def _compound(run: list[str], lex: Lexicon) -> tuple[str, float] | None:
     if a == "kfz":
         a = "fz"
     best = None
+    ours, theirs = mask(a), mask(b)
     for t in lex.trades:
         if len(a) <= 3 and a[0] == t[0] and len(b) >= 3 and len(b) < len(t) - 2 and t.endswith(b) and subsequence(a, t[: -len(b)]) and (best is None or best[1] > 0.3):
             best = (t, 0.3)
     if len(a) < 2 or len(b) < 2:
         return best
-    for t in lex.trades:
-        if t[:2] != a[:2] or len(a) >= len(t):
+    for t, have in lex.trade_masks:
+        if t[:2] != a[:2] or len(a) >= len(t) or (ours & ~have).bit_count() > 1:
             continue
         d1 = 0 if t.startswith(a) else prefix_distance(a, t, 1) if len(a) >= 4 else 9
         if d1 > 1:
             continue
         tail = t[max(2, len(a) - 1) :]
-        d2 = 0 if tail.endswith(b) else min((distance(b, t[p:], 2) for p in range(2, len(t) - 2)), default=9) if len(b) >= 4 else 9
+        d2 = 0 if tail.endswith(b) else min((distance(b, t[p:], 2) for p in range(2, len(t) - 2)), default=9) if len(b) >= 4 and (theirs & ~have).bit_count() <= 2 else 9
         if d2 > 2:
             i = 9 if len(b) < 2 else next((0.3 for p in range(2, len(t) - 1) if t[p:].startswith(b)), 9)
             d2 = i
@@ -354,9 +390,11 @@ def _glued(w: str, lex: Lexicon) -> tuple[str, str, str] | None:
     """A family and a trade (and a town) written together, in either order."""
     town = next((t for t in lex.towns if w.endswith(t) and len(w) - len(t) > 8), "")
     core = w[: -len(town)] if town else w
-    best = None
-    for t in lex.trades:
+    best, letters = None, mask(core)
+    for t, have in lex.trade_masks:
         k = 1 if len(t) < 9 else 2
+        if (have & ~letters).bit_count() > k:
+            continue
         for n in range(len(t) - k, len(t) + k + 1):
             if len(core) - n < 4:
                 continue
