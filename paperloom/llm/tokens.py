@@ -3,7 +3,7 @@
 Each Spark task splits its texts into words with the vocabulary's pattern and gives the different words of a batch
 to DuckDB as token-position rows. A recursive query joins neighbouring tokens to the merge table and, in each
 step, contracts in every word the pair of least rank, leftmost first without overlap, until no pair is left; an
-ordered aggregation gives the ids. No shuffle: one scan, one Arrow pass.
+ordered aggregation gives the ids. Recursions are bounded, and long words go through several. No shuffle: one scan, one Arrow pass.
 
 Defined results: a null text and an empty text give an empty list; strings of special tokens are ordinary text;
 whole texts are encoded whatever their length; repeated rows give repeated rows.
@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,40 +25,40 @@ TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
 # Fixed value: the public pattern that splits text before the merges.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: A batch of different words goes to DuckDB when it has so many bytes.
-BATCH_BYTES = 4_000_000
+# The same pattern in the standard library's terms, for texts of Latin letters and common signs only, where both agree.
+_FAST = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+_UNUSUAL = re.compile("[^\t\n\r -~\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u024f\u2010-\u2027\u2030-\u203a\u20ac]")
+#: A batch of different words goes to DuckDB when it has so many letters, after the text that brings it there.
+BATCH_LETTERS = 1_000_000
 #: A task remembers the ids of so many words.
 MEMORY = 400_000
 
-_STEP = """
-WITH RECURSIVE
-st(it, w, pos, tok) AS (
-  SELECT 0, w, pos, tok FROM base
+#: Steps of one recursion; words that need more go on from where they are, so no recursion keeps many rounds.
+ROUNDS = 64
+
+# In a step, every word's pairs of least rank are contracted; where they overlap, as in a run of one token, every other one.
+_STEP = f"""
+WITH RECURSIVE st(it, w, pos, tok, done) AS (
+  SELECT 0, w, pos, tok, false FROM base
   UNION ALL
-  SELECT it + 1, w, pos, tok FROM (
-    SELECT it, w, pos, CASE WHEN take THEN merged ELSE tok END AS tok,
-           lag(take) OVER (PARTITION BY w ORDER BY pos) AS gone
+  SELECT it + 1, w, pos, CASE WHEN take THEN merged ELSE tok END, least_rank IS NULL
+  FROM (
+    SELECT *, lag(take) OVER (PARTITION BY w ORDER BY pos) AS gone
     FROM (
-      SELECT *, hit AND (row_number() OVER (PARTITION BY w, hit, island ORDER BY pos)) % 2 = 1 AS take
+      SELECT *, coalesce(rank = least_rank AND (tok <> nxt OR (rn - run_start) % 2 = 0), false) AS take
       FROM (
-        SELECT *, rn - row_number() OVER (PARTITION BY w, hit ORDER BY pos) AS island
+        SELECT n.*, m.rank, m.merged, min(m.rank) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS least_rank,
+               max(CASE WHEN prv IS DISTINCT FROM tok THEN rn END) OVER (PARTITION BY w ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run_start
         FROM (
-          SELECT *, rank IS NOT NULL AND rank = least_rank AS hit
-          FROM (
-            SELECT n.it, n.w, n.pos, n.tok, n.rn, m.rank, m.merged, min(m.rank) OVER (PARTITION BY n.w) AS least_rank
-            FROM (
-              SELECT it, w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt,
-                     row_number() OVER (PARTITION BY w ORDER BY pos) AS rn
-              FROM st
-            ) n LEFT JOIN merges m ON n.tok = m.l AND n.nxt = m.r
-          ) WHERE least_rank IS NOT NULL
-        )
+          SELECT it, w, pos, tok, lead(tok) OVER o AS nxt, lag(tok) OVER o AS prv, row_number() OVER o AS rn
+          FROM st WHERE NOT done AND it < {ROUNDS}
+          WINDOW o AS (PARTITION BY w ORDER BY pos)
+        ) n LEFT JOIN merges m ON n.tok = m.l AND n.nxt = m.r
       )
     )
   ) WHERE gone IS NOT TRUE
-),
-ends AS (SELECT w, max(it) AS it FROM st GROUP BY w)
-SELECT st.w, list(st.tok ORDER BY st.pos) AS ids FROM st JOIN ends ON st.w = ends.w AND st.it = ends.it GROUP BY st.w
+)
+SELECT w, done, list(tok ORDER BY pos) AS ids FROM st WHERE done OR it = {ROUNDS} GROUP BY w, done
 """
 
 
@@ -72,39 +74,42 @@ class Encoder:
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(keep)]
         sign = {b: chr(b) for b in keep} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.byte_id = [vocab[sign[b]] for b in range(256)]
+        self.byte_id = np.array([vocab[sign[b]] for b in range(256)], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.con = duckdb.connect(":memory:")
         self.con.execute("SET threads = 1")
         self.con.execute("SET memory_limit = '700MB'")
+        self.con.execute("SET temp_directory = ''")  # batches are small; nothing may spill to a machine's own disk
         public = pa.table({"l": [vocab[a] for a, _ in pairs], "r": [vocab[b] for _, b in pairs], "rank": list(range(len(pairs))), "merged": [vocab[a + b] for a, b in pairs]})  # noqa: F841 DuckDB reads it by name
         self.con.execute("CREATE TABLE merges AS SELECT l::INTEGER AS l, r::INTEGER AS r, rank::INTEGER AS rank, merged::INTEGER AS merged FROM public")
         self.known: dict[str, list[int]] = {}
 
     def learn(self, words: list[str]) -> None:
-        ids = self.byte_id
-        w, pos, tok = [], [], []
-        for k, word in enumerate(words):
-            raw = word.encode("utf-8", "surrogatepass")
-            if len(raw) == 1:
-                self.known[word] = [ids[raw[0]]]
-                continue
-            w += [k] * len(raw)
-            pos += range(len(raw))
-            tok += [ids[b] for b in raw]
-        if not w:
-            return
-        base = pa.table({"w": pa.array(w, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(tok, pa.int32())})
-        self.con.register("base", base)
-        out = self.con.sql(_STEP).to_arrow_table()
-        self.con.unregister("base")
-        for k, found in zip(out.column("w").to_pylist(), out.column("ids").to_pylist()):
-            self.known[words[k]] = found
+        """Contract the words; batches are bounded by bytes, or hold one word, however long."""
+        raws = [w.encode("utf-8", "surrogatepass") for w in words]
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        pos = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        tok = self.byte_id[np.frombuffer(b"".join(raws), np.uint8)]
+        while len(w):
+            base = pa.table({"w": w.astype(np.int32), "pos": pos.astype(np.int32), "tok": tok.astype(np.int32)})
+            self.con.register("base", base)
+            out = self.con.sql(_STEP).to_arrow_table()
+            self.con.unregister("base")
+            rest: list[tuple[int, list[int]]] = []
+            for k, done, ids in zip(out.column("w").to_pylist(), out.column("done").to_pylist(), out.column("ids").to_pylist()):
+                if done:
+                    self.known[words[k]] = ids
+                else:
+                    rest.append((k, ids))
+            w = np.repeat(np.array([k for k, _ in rest], np.int32), [len(x) for _, x in rest]) if rest else np.zeros(0, np.int32)
+            pos = np.concatenate([np.arange(len(x)) for _, x in rest]) if rest else pos[:0]
+            tok = np.array([i for _, x in rest for i in x], np.int32)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         if len(self.known) > MEMORY:
             self.known.clear()
-        split = [PATTERN.findall(t) if t else [] for t in texts]
+        split = [(_FAST.findall(t) if _UNUSUAL.search(t) is None else PATTERN.findall(t)) if t else [] for t in texts]
         new: dict[str, None] = {}
         size = 0
         for words in split:
@@ -112,7 +117,7 @@ class Encoder:
                 if x not in self.known and x not in new:
                     new[x] = None
                     size += len(x) + 1
-            if size > BATCH_BYTES:
+            if size > BATCH_LETTERS:
                 self.learn([*new])
                 new, size = {}, 0
         if new:
