@@ -1,10 +1,14 @@
 """Mixed timestamp formats and zones, normalised to one unambiguous form.
 
 Each value gets an array of every valid interpretation (field order, century, unit of an epoch, which of two
-equal wall-clock hours). The site's rules give each interpretation a prior cost; a Viterbi pass over the
-records of one source in record order then adds a cost for a switch of format and for a jump back in time.
-An interpretation whose prior cost exceeds the best one's by more than any chain could win back is dropped
-beforehand, which changes no result and leaves most records with one interpretation.
+equal wall-clock hours). The site's rules give each interpretation a prior cost, and a Viterbi pass over the
+records of one source in record order adds a cost for a switch of format and for a jump back in time. No
+interpretation is removed beforehand.
+
+Chains are decoded in blocks of ids. A record is sure when its best interpretation costs less than the next one by
+more than its two neighbours could ever give back; what lies between two sure records of a block depends on nothing
+outside it. Only the records before the first and after the last sure one of a block are left open, and they are
+decoded in a second pass together with the sure records around them, which gives the same result as one chain.
 
 Defined results: null, blank, impossible and unresolvable values give no row; a repeated row (same table and
 id) counts once; a null or unknown site gives no zone, so values that need the site's clock read UTC and the
@@ -23,10 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.session import width
+from paperloom.session import cut, width
 
-#: Records are decoded in blocks of so many consecutive ids, so that a site with a third of all rows is spread over tasks.
+#: Records are decoded in blocks of so many consecutive ids, so that a site with a third of all rows is spread over tasks; no result depends on it.
 BLOCK = 8192
+#: Costs of a switch of format, of a jump back in time, and of a reading that the site's rules exclude.
 SWITCH, BACK, RULE = 1.0, 0.5, 10.0
 
 # Month names of four languages by their first letters, accents removed.
@@ -65,7 +70,13 @@ def _month(word: str) -> int | None:
     return MONTHS.get(w[:4]) or MONTHS.get(w[:3])
 
 
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+_SPACE = re.compile(r"\s+")
+
+
 def _clean(text: str) -> str:
+    if text.isascii():
+        return _SPACE.sub(" ", _CONTROL.sub("", text)).strip()
     text = "".join(" " if c in " \t\r\n\v\f" else c for c in text if unicodedata.category(c) not in ("Cf", "Cc") or c in "\t\r\n\v\f")
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text)).strip()
 
@@ -113,13 +124,27 @@ def _civil(y: int, m: int, d: int, rest: str, fmt: str, rule: bool = True, two:
 
 def interpretations(value: str) -> list[tuple]:
     """Every valid reading of a value, before the site's zone is applied; see _civil. Rule None: the site's locale decides."""
-    for text in dict.fromkeys((c := _clean(value), _redigit(c))):
-        if found := _read(text):
-            return found
-    return []
+    text = _clean(value)
+    if found := _read(text):
+        return found
+    digits = _redigit(text)
+    return _read(digits) if digits != text else []
 
 
 def _read(x: str) -> list[tuple]:
+    if m := _NUM.match(x):
+        a, sep, b, c, rest = m[1], m[2], m[3], m[4], m[5]
+        if len(a) == 4:
+            return _civil(int(a), int(b), int(c), rest, "ymd" + sep) if len(c) <= 2 else []
+        if len(a) > 2 or len(c) not in (2, 4):
+            return []
+        two = len(c) == 2
+        if sep != "/":
+            return _civil(int(c), int(b), int(a), rest, "dmy" + sep, True, two)
+        return [
+            *[(f, k, w, z, "dmy") for f, k, w, z, _ in _civil(int(c), int(b), int(a), rest, "dmy/", True, two)],
+            *[(f, k, w, z, "mdy") for f, k, w, z, _ in _civil(int(c), int(a), int(b), rest, "mdy/", True, two)],
+        ]
     if re.fullmatch(r"\d{10}", x):
         return [("epoch", "moment", datetime(1970, 1, 1) + timedelta(seconds=int(x)), 0, True)]
     if re.fullmatch(r"\d{13}", x):
@@ -142,19 +167,6 @@ def _read(x: str) -> list[tuple]:
     if m := _YM.match(x) or _MY.match(x):
         y, mo = (int(m[1]), int(m[2])) if len(m[1]) == 4 else (int(m[2]), int(m[1]))
         return [("month", "month", date(y, mo, 1), None, True)] if 1 <= mo <= 12 and 1900 <= y <= 2199 else []
-    if m := _NUM.match(x):
-        a, sep, b, c, rest = m[1], m[2], m[3], m[4], m[5]
-        if len(a) == 4:
-            return _civil(int(a), int(b), int(c), rest, "ymd" + sep) if len(c) <= 2 else []
-        if len(a) > 2 or len(c) not in (2, 4):
-            return []
-        two = len(c) == 2
-        if sep != "/":
-            return _civil(int(c), int(b), int(a), rest, "dmy" + sep, True, two)
-        return [
-            *[(f, k, w, z, "dmy") for f, k, w, z, _ in _civil(int(c), int(b), int(a), rest, "dmy/", True, two)],
-            *[(f, k, w, z, "mdy") for f, k, w, z, _ in _civil(int(c), int(a), int(b), rest, "mdy/", True, two)],
-        ]
     if m := _NAMED_DAY.match(x):
         if mo := _month(m[1]):
             return _civil(int(m[3]), mo, int(m[2]), m[4], "Mdy")
@@ -191,8 +203,7 @@ def resolve(found: list[tuple], zone_name: str | None, locale: str | None) -> li
         cost = 0.0
         if rule in ("dmy", "mdy"):
             if locale is not None:
-                if (rule == "mdy") != (locale == "en-US"):
-                    continue  # the locale excludes this order
+                cost = RULE * ((rule == "mdy") != (locale == "en-US"))
             elif rule == "mdy":
                 cost = 0.1
         if kind == "day":
@@ -213,10 +224,16 @@ def resolve(found: list[tuple], zone_name: str | None, locale: str | None) -> li
             moments = [first] if second <= first else [first, second]
         for k, t in enumerate(moments):
             out.append((fmt, _iso(t), (t - _EPOCH).total_seconds(), cost + RULE * k))
-    if len(out) > 1:
-        least = min(o[3] for o in out)
-        out = [o for o in out if o[3] <= least + 2 * (SWITCH + BACK)]
-    return out
+    # a value that can only be read against the site's rules is impossible there
+    return out if any(o[3] < RULE for o in out) else []
+
+
+def sure(readings: list[tuple]) -> bool:
+    """Whether one reading is the choice of every chain: no other could win back its cost from both neighbours."""
+    if len(readings) < 2:
+        return len(readings) == 1
+    low, second = sorted(r[3] for r in readings)[:2]
+    return second - low > 2 * (SWITCH + BACK)
 
 
 def viterbi(chain: list[list[tuple]]) -> list[str | None]:
@@ -251,48 +268,100 @@ def viterbi(chain: list[list[tuple]]) -> list[str | None]:
     return out
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, list[tuple]] = {}
-    key, ids, chain = None, [], []
+_COLS = ["rec_table", "owner_scope", "rec_id", "val", "zone_name", "locale"]
 
-    def flush() -> pd.DataFrame:
-        forms = viterbi(chain)
-        keep = [(i, f) for i, f in zip(ids, forms) if f is not None]
-        return pd.DataFrame({"rec_table": [key[0]] * len(keep), "rec_id": [i for i, _ in keep], "normal_form": [f for _, f in keep]}).astype({"rec_id": "int64"})
 
-    done: list[pd.DataFrame] = []
+def _chains(batches: Iterator[pd.DataFrame], by_block: bool) -> Iterator[tuple[tuple, list[tuple], list[list[tuple]]]]:
+    """(key, rows, readings) of each chain of sorted rows; a repeated id counts once."""
+    known: dict[str, list[tuple]] = {}
+    key, rows, chain = None, [], []
     for b in batches:
-        for tab, scope, block, rid, val, zone, locale in zip(b.rec_table, b.owner_scope, b.block, b.rec_id, b.val, b.zone_name, b.locale):
-            k = (tab, block, scope if isinstance(scope, str) else None)
-            if k != key:
-                if ids:
-                    done.append(flush())
-                key, ids, chain = k, [], []
-            if ids and ids[-1] == rid:
+        blocks = b.block if by_block else [0] * len(b)
+        for tab, scope, block, rid, val, zone, locale in zip(b.rec_table, b.owner_scope, blocks, b.rec_id, b.val, b.zone_name, b.locale):
+            scope = scope if isinstance(scope, str) else None
+            if (tab, block, scope) != key:
+                if rows:
+                    yield key, rows, chain
+                key, rows, chain = (tab, block, scope), [], []
+            if rows and rows[-1][0] == rid:
                 continue
             found = known.get(val)
             if found is None:
                 if len(known) > 200_000:
                     known.clear()
                 found = known[val] = interpretations(val)
-            ids.append(rid)
-            chain.append(resolve(found, zone if isinstance(zone, str) else None, locale if isinstance(locale, str) else None))
-        if done:
-            yield pd.concat(done)
-            done = []
-    if ids:
-        yield flush()
+            zone, locale = zone if isinstance(zone, str) else None, locale if isinstance(locale, str) else None
+            rows.append((rid, val, zone, locale))
+            chain.append(resolve(found, zone, locale))
+    if rows:
+        yield key, rows, chain
+
 
+_OUT = "rec_table string, rec_id long, normal_form string, state string, owner_scope string, val string, zone_name string, locale string"
 
-def normalise_timestamps(records: DataFrame, sites: DataFrame) -> DataFrame:
+
+def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decided rows ('done'), open rows at the edges of blocks ('open'), and the sure rows next to the edges once more ('edge')."""
+    out: list[tuple] = []
+    for (tab, _, scope), rows, chain in _chains(batches, True):
+        fixed = [i for i, c in enumerate(chain) if sure(c)]
+        first, last = (fixed[0], fixed[-1]) if fixed else (len(chain), -1)
+        forms = viterbi(chain[first : last + 1])
+        for i, (rid, val, zone, locale) in enumerate(rows):
+            if first <= i <= last:
+                if forms[i - first] is not None:
+                    out.append((tab, rid, forms[i - first], "done", None, None, None, None))
+                if i in (first, last):
+                    out.append((tab, rid, None, "edge", scope, val, zone, locale))
+            elif chain[i]:
+                out.append((tab, rid, None, "open", scope, val, zone, locale))
+        if len(out) > 20_000:
+            yield pd.DataFrame(out, columns=["rec_table", "rec_id", "normal_form", "state", "owner_scope", "val", "zone_name", "locale"])
+            out = []
+    yield pd.DataFrame(out, columns=["rec_table", "rec_id", "normal_form", "state", "owner_scope", "val", "zone_name", "locale"])
+
+
+def _decode_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for (tab, _, _), rows, chain in _chains(batches, False):
+        out = [(tab, r[0], f) for r, f, c in zip(rows, viterbi(chain), chain) if f is not None and not sure(c)]
+        yield pd.DataFrame(out, columns=["rec_table", "rec_id", "normal_form"])
+
+
+def _with_sites(records: DataFrame, sites: DataFrame) -> DataFrame:
+    s = sites.groupBy("owner_scope").agg(F.min(F.struct("zone_name", "locale")).alias("s")).select("owner_scope", "s.zone_name", "s.locale")
+    r = records.select("rec_table", F.col("rec_id").cast("long").alias("rec_id"), "owner_scope", "val").where("val is not null and rec_id is not null")
+    return r.join(s, "owner_scope", "left")
+
+
+def normalise_timestamps(records: DataFrame, sites: DataFrame, block: int = BLOCK) -> DataFrame:
     """records(rec_table, rec_id, owner_scope, val), sites(owner_scope, zone_name, locale) -> (rec_table, rec_id, normal_form).
 
     One shuffle, by table and block of ids (never by site, so no hot site); sites has one row per site and joins by
-    whatever plan its size allows.
+    whatever plan its size allows. The second pass sees the open rows of a source and two rows of each of its blocks.
     """
-    s = sites.groupBy("owner_scope").agg(F.min(F.struct("zone_name", "locale")).alias("s")).select("owner_scope", "s.zone_name", "s.locale")
-    r = records.select("rec_table", F.col("rec_id").cast("long").alias("rec_id"), "owner_scope", "val").where("val is not null and rec_id is not null")
-    r = r.join(s, "owner_scope", "left").withColumn("block", F.expr(f"rec_id div {BLOCK}"))
-    r = r.repartition(width(records.sparkSession), "rec_table", "block").sortWithinPartitions("rec_table", "block", "owner_scope", "rec_id", "val")
-    cols = ["rec_table", "owner_scope", "block", "rec_id", "val", "zone_name", "locale"]
-    return r.select(*cols).mapInPandas(_decode, "rec_table string, rec_id long, normal_form string")
+    n = width(records.sparkSession)
+    r = _with_sites(records, sites).withColumn("block", F.expr(f"rec_id div {block}"))
+    r = r.repartition(n, "rec_table", "block").sortWithinPartitions("rec_table", "block", "owner_scope", "rec_id", "val")
+    out = cut(r.select(*_COLS, "block").mapInPandas(_decode, _OUT))
+    done = out.where("state = 'done'").select("rec_table", "rec_id", "normal_form")
+    source = out.where("state = 'open'").select(F.col("rec_table").alias("t"), F.col("owner_scope").alias("o")).distinct()
+    if source.isEmpty():
+        return done
+    edges = out.where("state <> 'done'").join(source, F.col("rec_table").eqNullSafe(F.col("t")) & F.col("owner_scope").eqNullSafe(F.col("o")), "left_semi")
+    edges = edges.repartition(n, "rec_table", "owner_scope").sortWithinPartitions("rec_table", "owner_scope", "rec_id", "val")
+    return done.unionByName(edges.select(*_COLS).mapInPandas(_decode_edges, "rec_table string, rec_id long, normal_form string"))
+
+
+def reading_counts(records: DataFrame, sites: DataFrame) -> DataFrame:
+    """(rec_table, readings, settled, n): how many values come into the chain with so many readings, and whether the rules settle them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for tab, val, zone, locale in zip(b.rec_table, b.val, b.zone_name, b.locale):
+                found = resolve(interpretations(val), zone if isinstance(zone, str) else None, locale if isinstance(locale, str) else None)
+                rows.append((tab, len(found), sure(found)))
+            yield pd.DataFrame(rows, columns=["rec_table", "readings", "settled"])
+
+    r = _with_sites(records, sites).dropDuplicates(["rec_table", "rec_id"])
+    return r.select(*_COLS).mapInPandas(run, "rec_table string, readings long, settled boolean").groupBy("rec_table", "readings", "settled").agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
 from paperloom.operators import extract, report, store, vectors
-from paperloom.operators.timestamps import normalise_timestamps
+from paperloom.operators.timestamps import normalise_timestamps, reading_counts
 from paperloom.session import spread, table
 from paperloom.streaming import jobs
 
@@ -49,11 +49,20 @@ SAFE = "coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_repl
 LINES = "(select doc_id, unnest(generate_series(0, len(a) - 1)) line_no, unnest(a) line, len(a) n from (select doc_id, case when a[-1] = '' then a[:-2] else a end a from (select doc_id, string_split(regexp_replace(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g'), chr(10)) a from documents where text is not null)))"
 
 
-@query()
-def p1_found(s, d):
+def p1_records(s, d):
     c = table(s, d, "date_candidates").select(F.lit("date_candidates").alias("rec_table"), F.col("candidate_id").alias("rec_id"), "owner_scope", F.col("date_str").alias("val"))
     m = table(s, d, "labeled_documents").select(F.lit("labeled_documents").alias("rec_table"), F.col("label_id").alias("rec_id"), "owner_scope", F.col("date").alias("val"))
-    return normalise_timestamps(c.unionByName(m), table(s, d, "sites"))
+    return c.unionByName(m)
+
+
+@query()
+def p1_found(s, d):
+    return normalise_timestamps(p1_records(s, d), table(s, d, "sites"))
+
+
+@query()
+def p1_readings(s, d):
+    return reading_counts(p1_records(s, d), table(s, d, "sites"))
 
 
 # --- sources and names

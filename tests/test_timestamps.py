@@ -75,3 +75,25 @@ def test_nulls_repeats_unknown_sites_and_extra_columns(spark):
     got = sorted((r.rec_table, r.rec_id, r.normal_form) for r in normalise_timestamps(recs, sites).collect())
     assert got == [("t", 1, "2024-01-02T03:04:00.000000Z"), ("u", 1, "2024-01-02")]
     assert normalise_timestamps(recs.limit(0), sites.limit(0)).count() == 0
+
+
+def test_blocks_change_nothing(spark):
+    import random
+
+    r = random.Random(11)
+    fit = {"none": None, "us": "en-US", "de": "de-DE"}
+    rows = []
+    for i in range(900):
+        d, m = r.randint(1, 12), r.randint(1, 12)
+        val = r.choice([f"{d:02d}/{m:02d}/2024"] * 6 + [f"{r.randint(13, 28)}/{m:02d}/2024", f"{m:02d}/{r.randint(13, 28)}/2024", f"2024-{m:02d}-{d:02d}", "no date"])
+        rows.append(("t", i, r.choice([*fit, None]), val))
+    recs = spark.createDataFrame(rows, "rec_table string, rec_id long, owner_scope string, val string")
+    sites = spark.createDataFrame([(k, "UTC", v) for k, v in fit.items()], "owner_scope string, zone_name string, locale string")
+    whole = sorted(map(tuple, normalise_timestamps(recs, sites, 10**9).collect()))
+    chain = {s: [(i, resolve(interpretations(v), "UTC" if s else None, fit.get(s))) for _, i, o, v in rows if o == s] for s in [*fit, None]}
+    want = sorted(("t", i, f) for c in chain.values() for (i, _), f in zip(c, viterbi([x for _, x in c])) if f)
+    assert whole == want
+    for block in (1, 3, 40):
+        assert sorted(map(tuple, normalise_timestamps(recs, sites, block).collect())) == want
+    counts = {(x.readings, x.settled): x.n for x in reading_counts(recs, sites).collect()}
+    assert counts[2, True] > 0 and counts[2, False] > 0
