@@ -20,6 +20,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,9 +42,21 @@ _CLASS = str.maketrans({**dict.fromkeys("céèêë", "e"), "f": "t", **dict.from
 CONFUSIONS = [("e", "c"), ("t", "f"), ("i", "l"), ("i", "1"), ("l", "1"), ("l", "i"), ("g", "9"), ("g", "q"), ("o", "0"), ("u", "n"), ("n", "u"), ("h", "b"), ("d", "cl"), ("cl", "d"), ("m", "rn"), ("rn", "m"), ("ü", "ii"), ("ü", "u"), ("ö", "6"), ("ö", "o"), ("ä", "a"), ("nn", "rm"), ("b", "8"), ("s", "5"), ("é", "c"), ("è", "c"), ("ê", "c"), ("ß", "b"), ("ß", "8"), ("i", "|"), ("l", "|"), ("c", "e"), ("f", "t"), ("b", "h"), ("z", "2"), ("w", "vv")]
 
 
+_TABLE = bytes(ord(_CLASS.get(i, chr(i))) for i in range(256))
+
+
+def _classed(s: str) -> str:
+    """A glyph for each class of confusable ones; all classes lie in Latin-1, where bytes are translated faster."""
+    try:
+        return s.encode("latin-1").translate(_TABLE).decode("latin-1")
+    except UnicodeEncodeError:
+        return s.translate(_CLASS)
+
+
+@lru_cache(200_000)
 def skeleton(word: str) -> str:
     """One spelling for all forms of a word that scans confuse."""
-    s = word.lower().replace("ii", "ü").replace("vv", "w").replace("ß", "h").translate(_CLASS)
+    s = _classed(word.lower().replace("ii", "ü").replace("vv", "w").replace("ß", "h"))
     # c and e, l and i are one by now, so cl is ei, and rn may be ru
     return s.replace("ei", "d").replace("rn", "m").replace("rm", "nn")
 
@@ -66,7 +79,7 @@ def explains(right: str, seen: str) -> bool:
     return len(seen) in at[len(right)]
 
 
-_WORD = re.compile(r"[^\W_]+")
+_SPLIT = re.compile(r"([^\W_]+)")
 _PAGE_WORDS = {skeleton(w) for w in ("Seite", "Page", "S", "Blatt", "P", "Página", "Pagina", "Pág", "Pag", "Feuille", "Hoja", "Sheet")}
 _OF_WORDS = {skeleton(w) for w in ("von", "of", "de", "sur", "v", "aus")}
 _PAGENO = re.compile(r"^[\s\-—–·•|\[\]().]*(?:([^\W\d_][^\W_]*|5[^\W_]+)\s*[.:]?\s*(?=[\dlIO]))?([\dlIO]{1,3})\s*(?:(/|[^\W_]{1,3})\s*([\dlIO]{1,3}))?[\s\-—–·•|\[\]()]*$")
@@ -74,21 +87,30 @@ _PAGENO = re.compile(r"^[\s\-—–·•|\[\]().]*(?:([^\W\d_][^\W_]*|5[^\W_]+)\
 
 def is_pageno(line: str) -> bool:
     m = _PAGENO.match(line.strip())
-    if not m or not (re.search(r"\d", line)):
+    if not m or not _DIGIT.search(line):
         return False
     if m[1] and skeleton(m[1]) not in _PAGE_WORDS:
         return False
     return not m[3] or m[3] == "/" or skeleton(m[3]) in _OF_WORDS
 
 
+_GLUED_DIGIT = re.compile(r"(?<=[^\W\d_])[015698](?!\d)|(?<!\d)[015698](?=[^\W\d_])")
+_LETTER_FOR = {"0": "o", "1": "l", "5": "s", "6": "o", "9": "g", "8": "b"}
+_DIGIT, _DIGITS, _SIGNS, _LONG, _LETTERS = re.compile(r"\d"), re.compile(r"\d+"), re.compile(r"[\W_]+"), re.compile(r"\d{4,}"), re.compile(r"[^\W\d_]{2,}")
+
+
 def masked(line: str) -> str:
-    line = line.lower().replace("ii", "ü")
-    s = re.sub(r"\d+", "#", re.sub(r"(?<=[^\W\d_])[015698](?!\d)|(?<!\d)[015698](?=[^\W\d_])", lambda m: {"0": "o", "1": "l", "5": "s", "6": "o", "9": "g", "8": "b"}[m[0]], line))
-    return re.sub(r"[\W_]+", "", s.replace("#", "Ø").lower().translate(_CLASS)).replace("ei", "d").replace("rn", "m")
+    """A line's letters by confusable classes, each number one sign."""
+    s = line.lower().replace("ii", "ü")
+    if _DIGIT.search(s):
+        s = _DIGITS.sub("ø", _GLUED_DIGIT.sub(lambda m: _LETTER_FOR[m[0]], s).replace("#", "ø"))
+    elif "#" in s:
+        s = s.replace("#", "ø")
+    return _classed(_SIGNS.sub("", s)).replace("ei", "d").replace("rn", "m")
 
 
 def bodylike(line: str) -> bool:
-    words = re.findall(r"[^\W\d_]{2,}", line)
+    words = _LETTERS.findall(line)
     return bool(words) and sum(w[0].islower() for w in words) > 0.45 * len(words)
 
 
@@ -108,7 +130,7 @@ def layout(text: str) -> tuple[list[str], list[str]]:
     # a head or foot keeps its long numbers, whatever its page number; body text that comes again has others
     by_number: dict[tuple, list[int]] = {}
     for i in body:
-        if (n := tuple(re.findall(r"\d{4,}", clean[i]))) and not bodylike(clean[i]):
+        if (n := tuple(_LONG.findall(clean[i]))) and not bodylike(clean[i]):
             by_number.setdefault(n, []).append(i)
     for members in by_number.values():
         for i in members:
@@ -186,10 +208,10 @@ def body_words(text: str, kinds: str) -> Iterator[tuple]:
     rest = False
     for n, i in enumerate(body):
         line = lines[i].replace("\x0c", "").replace("\r", "").rstrip()
-        parts = _WORD.split(line)
-        words = _WORD.findall(line)
+        both = _SPLIT.split(line)
+        words, parts = both[1::2], both[::2]
         cutted = None
-        if (m := _ENDS.search(line)) and n + 1 < len(body) and not m[1].isdigit():
+        if line and line[-1] in "-¬\u00ad" and (m := _ENDS.search(line)) and n + 1 < len(body) and not m[1].isdigit():
             after = _STARTS.match(lines[body[n + 1]].replace("\x0c", ""))
             if after and not after[1][0].isdigit():
                 cutted = (m[1], m[2], body[n + 1], after[1])
@@ -197,8 +219,11 @@ def body_words(text: str, kinds: str) -> Iterator[tuple]:
         rest = bool(cutted and (cutted[1] != "-" or cutted[3][0].islower()))
 
 
+@lru_cache(200_000)
 def is_word(w: str) -> bool:
     """Letters, perhaps with misread digits among them; no reference number."""
+    if w.isalpha():
+        return len(w) > 1
     letters = sum(c.isalpha() for c in w)
     return letters >= 2 and letters >= 0.5 * len(w) and sum(c.isdigit() for c in w) <= 3
 
@@ -221,17 +246,21 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for _, words, parts, cutted, rest in body_words(text, kinds):
                 low = [w.lower() for w in words]
                 last = len(low) - 1
+                skip = last if cutted and (cutted[1] != "-" or cutted[3][0].islower()) else -1
+                good = [is_word(w) for w in low]
+                pairs = []
                 for k, w in enumerate(low):
-                    if (k == 0 and rest) or (k == last and cutted and (cutted[1] != "-" or cutted[3][0].islower())):
+                    if (k == 0 and rest) or k == skip:
                         continue
-                    if is_word(w):
-                        seen[w, ""] += 1
-                        if k and is_word(low[k - 1]):
-                            seen[w, low[k - 1]] += 1
-                    if k and parts[k] == "-" and is_word(w) and is_word(low[k - 1]):
-                        seen[f"{low[k - 1]}-{w}", ""] += 1
-                    if pair := pieces(words, parts, k, rest):
+                    if good[k]:
+                        pairs.append((w, ""))
+                        if k and good[k - 1]:
+                            pairs.append((w, low[k - 1]))
+                            if parts[k] == "-":
+                                pairs.append((f"{low[k - 1]}-{w}", ""))
+                    if k and parts[k] == " " and (pair := pieces(words, parts, k, rest)):
                         torn.add(pair)
+                seen.update(pairs)
         rows = [(w, p, n, skeleton(w.replace("-", "")), False) for (w, p), n in seen.items()] + [(w, p, 0, skeleton(p + w), True) for p, w in torn]
         yield pd.DataFrame(rows, columns=["form", "before", "n", "skel", "torn"])
 
@@ -312,7 +341,7 @@ def _lookups(known: set[str], torn: np.ndarray):
                             continue
                         if low not in known and is_word(w):
                             rows.append((tab, rid, i, -1, "w", skeleton(low), low, "", ""))
-                        if pair := pieces(words, parts, k, rest):
+                        if k and parts[k] == " " and (pair := pieces(words, parts, k, rest)):
                             asked.append((tab, rid, i, *pair))
                             sums.append(zlib.crc32(" ".join(pair).encode()))
                     if joins:
@@ -381,33 +410,45 @@ def find_damage(records: DataFrame) -> DataFrame:
 
 
 def repaired(records: DataFrame) -> DataFrame:
-    """records(rec_table, rec_id, text) -> (rec_table, rec_id, para_no, text): continuous paragraphs, put together by SQL windows."""
+    """records(rec_table, rec_id, text) -> (rec_table, rec_id, para_no, text): continuous paragraphs, put together by SQL windows.
+
+    Corrections come to their record once; lines, windows and paragraphs stay in the partition of their record.
+    """
     pages = laid_out(records)
-    fix = damages(pages)
-    per_line = fix.groupBy("rec_table", "rec_id", "line_no").agg(F.collect_list(F.when(F.col("kind") == "misread", F.struct("seen", "right"))).alias("fixes"), F.max(F.col("kind") == "hyphen").alias("divided"))
-    lines = pages.select("rec_table", "rec_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), "kinds").withColumn("code", F.expr("substring(kinds, line_no + 1, 1)"))
-    lines = lines.where("code in ('b', ' ')").withColumn("line_no", F.col("line_no").cast("long")).drop("kinds").join(per_line, ["rec_table", "rec_id", "line_no"], "left")
+    key = ["rec_table", "rec_id"]
+    fix = damages(pages).groupBy(*key).agg(F.collect_list(F.struct("line_no", "kind", "seen", "right")).alias("fixes"))
 
-    @F.pandas_udf("string")
-    def mend(line: pd.Series, fixes: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<line_no: long, line: string, code: string, divided: boolean>>")
+    def mended(text: pd.Series, kinds: pd.Series, fixes: pd.Series) -> pd.Series:
         out = []
-        for x, f in zip(line, fixes):
-            x = x.replace("\x0c", "").strip()
-            for e in [] if f is None else f:
-                right = e["right"]
-                x = re.sub(rf"(?i)(?<![^\W_]){re.escape(e['seen'])}(?![^\W_])", lambda m, r=right: r.capitalize() if m[0][0].isupper() else r, x)
-            out.append(x)
+        for t, codes, found in zip(text, kinds, fixes):
+            todo: dict[int, list] = {}
+            for f in [] if found is None else found:
+                todo.setdefault(f["line_no"], []).append(f)
+            rows = []
+            for i, (x, code) in enumerate(zip(t.split("\n"), codes)):
+                if code not in "b ":
+                    continue
+                x, divided = x.replace("\x0c", "").strip(), False
+                for f in todo.get(i, ()):
+                    if f["kind"] == "hyphen":
+                        divided = True
+                    else:
+                        right = f["right"]
+                        x = re.sub(rf"(?i)(?<![^\W_]){re.escape(f['seen'])}(?![^\W_])", lambda m, r=right: r.capitalize() if m[0][0].isupper() else r, x)
+                rows.append({"line_no": i, "line": x, "code": code, "divided": divided})
+            out.append(rows)
         return pd.Series(out)
 
-    w = Window.partitionBy("rec_table", "rec_id").orderBy("line_no")
-    lines = lines.withColumn("line", mend("line", "fixes"))
+    x = pages.join(fix.hint("merge"), key, "left")
+    lines = x.select(*key, F.explode(mended("text", "kinds", "fixes")).alias("l")).select(*key, "l.*")
+    w = Window.partitionBy(*key).orderBy("line_no")
     # a blank line ends a paragraph, except where the words before it run on
     body = lines.withColumn("gap", F.lag("code").over(w) == " ").where("code = 'b'")
-    w2 = Window.partitionBy("rec_table", "rec_id").orderBy("line_no")
-    body = body.withColumn("open", ~F.coalesce(F.lag("line").over(w2).rlike(r"[.!?:;]$"), F.lit(True)))
-    body = body.withColumn("starts", (F.coalesce("gap", F.lit(True)) & ~F.col("open")).cast("int")).withColumn("para_no", F.sum("starts").over(w2))
+    body = body.withColumn("open", ~F.coalesce(F.lag("line").over(w).rlike(r"[.!?:;]$"), F.lit(True)))
+    body = body.withColumn("starts", (F.coalesce("gap", F.lit(True)) & ~F.col("open")).cast("int")).withColumn("para_no", F.sum("starts").over(w))
     piece = F.when(F.col("divided"), F.regexp_replace("line", "[-¬\u00ad]\\s*$", "")).otherwise(F.concat("line", F.lit(" ")))
-    return body.groupBy("rec_table", "rec_id", "para_no").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", piece.alias("p")))), lambda x: x["p"]), "")).alias("text"))
+    return body.groupBy(*key, "para_no").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", piece.alias("p")))), lambda x: x["p"]), "")).alias("text"))
 
 
 def _alike(a: str, b: str, part: int = 7) -> bool:
