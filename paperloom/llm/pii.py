@@ -1,9 +1,9 @@
 """Finding and masking personal information in free text with a linear-chain conditional random field.
 
-The tagger's features are words, shapes and endings of a token and its neighbours within four tokens; its weights
-are fitted on the driver from the small labelled table in pii_labels (ROWS_FITTED letters, seconds) and sent to the
-tasks. As every feature looks at one token, a task scores each different token once and a text is a sum of gathered
-rows; Viterbi runs in numpy over many texts at a time. An exact check of the spans' form follows.
+The tagger's features are words, shapes, endings and short lists of cue words of a token and its neighbours within
+four tokens; its weights are fitted on the driver from the small labelled table in pii_labels (ROWS_FITTED letters,
+half a minute, once a session) and sent to the tasks. As every feature looks at one token, a task scores each different token once and a text is a sum of gathered
+rows; Viterbi runs in numpy over many texts at a time. Spans are trimmed to whole words and digit runs.
 
 One scan, one Arrow pass, no shuffle. Defined results: a null or empty text gives no item and itself as masked text;
 texts are read whole; of an item that comes more than once in a document one row is given.
@@ -12,6 +12,7 @@ texts are read whole; of an item that comes more than once in a document one row
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -19,30 +20,50 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from paperloom.llm.pii_labels import KINDS, letters
+from paperloom.llm.names import GIVEN
+from paperloom.llm.pii_labels import GIVEN_NAMES, KINDS, letters
 
 #: Letters drawn from the labelled table, passes over them, and the table's seed.
-ROWS_FITTED, PASSES, SEED = 1500, 10, 7
-#: Letters in a step of the fit.
-STEP = 40
+ROWS_FITTED, PASSES, SEED = 2800, 7, 7
+#: Different words that an ending must have to count.
+RARE = 8
+#: Tokens in a piece of a letter, and pieces in a step of the fit.
+PIECE, STEP = 40, 160
+#: Given names of the public lists; family names are learnt by shape and place only.
+NAMES = {*GIVEN, *(n.lower() for g in GIVEN_NAMES for n in g.split("-"))}
+# Words that stand beside items in four languages.
+CUES = (
+    ("title", re.compile(r"^(herrn?|frau|hr|fr|mr|mrs|ms|miss|mme|mmes|m|madame|monsieur|mlle|sra?|señora?|don|doña|dr|prof|dipl|ing|sir|familie)$")),
+    ("idcue", re.compile(r"ausweis|reisepass|passport|pasaporte|passeport|steuer|tax|fisca|sozial|social|versicher|insurance|sécurité|seguridad|security|identi|^dni$|^nie$|^nif$|^id$|personal")),
+    ("telcue", re.compile(r"^tel|fon|phone|fax|téléphon|^tél|móvil|mobil|portable|handy|ruf|call|dial|ring|rang|appel|joign|llam|nummer|numéro|númer|number|durchwahl")),
+    ("mailcue", re.compile(r"mail|courriel|correo|schreib|write|écri|escri")),
+    ("roadcue", re.compile(r"straße$|strasse$|^str$|weg$|gasse$|allee$|platz$|ring$|damm$|ufer$|graben$|brücke$|^rue$|^chemin$|^avenue$|^boulevard$|^quai$|^impasse$|^place$|^road$|^lane$|^street$|^st$|^row$|^close$|^way$|^ave$|^rd$|^drive$|^court$|^calle$|^c$|^avda$|^paseo$|^plaza$|^camino$|^ronda$")),
+    ("firmcue", re.compile(r"^(gmbh|kg|ohg|ag|se|ug|mbh|ltd|sarl|söhne|sohn|co|cie|inc|plc|llc)$")),
+)
 OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3, 4)
 LABELS = ["O", *[f"{b}-{k}" for k in KINDS for b in "BI"]]
 _L = len(LABELS)
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|\n+|[^\w\s]|_")
+#: Every sign of a text falls into one token; white space other than line breaks is marked on the token after it, or left out.
+_TOKEN = re.compile(r"[ \t\u00a0]?(?:[^\W\d_]+|\d+|[^\w\s]|_)|\n+|\s")
 #: Tokens that a task remembers, and tokens decoded together.
 MEMORY, BATCH_TOKENS = 400_000, 60_000
 
 
+def plain(token: str) -> str | None:
+    """A token as the tagger knows it: a blank before it as one space, line breaks as one, other white space None."""
+    if token[0] == "\n":
+        return "\n"
+    if token[0] in " \t\u00a0":
+        return " " + token[1:] if len(token) > 1 else None
+    return None if token.isspace() else token
+
+
 def tokens(text: str) -> list[tuple[str, int, int]]:
-    """(token, start, end); a token after white space is marked by a leading space, line breaks are one token."""
+    """(token, start, end); the blank before a token isn't part of its place."""
     out = []
     for m in _TOKEN.finditer(text):
-        t, s = m[0], m.start()
-        if t[0] == "\n":
-            t = "\n"
-        elif s and text[s - 1] in " \t ":
-            t = " " + t
-        out.append((t, s, m.end()))
+        if (t := plain(m[0])) is not None:
+            out.append((t, m.start() + (t[0] == " "), m.end()))
     return out
 
 
@@ -52,13 +73,18 @@ def features(token: str, vocabulary: set[str] | None) -> list[str]:
     if w == "\n":
         return ["nl"]
     if w.isdigit():
-        return [*out, f"d{min(len(w), 12)}", "dig", *(["w=" + w] if len(w) <= 3 else [])]
+        return [*out, f"d{min(len(w), 12)}", "dig", *([f"zero{min(len(w), 4)}"] if w[0] == "0" and len(w) > 1 else []), *(["w=" + w] if len(w) <= 3 else [])]
     if not w[0].isalpha():
         return [*out, "p=" + w]
     low = w.lower()
     shape = "X" if len(w) == 1 and w.isupper() else "x" if len(w) == 1 else "XX" if w.isupper() else "x+" if w.islower() else "Xx" if w[1:].islower() else "xX"
     out += ["sh=" + shape, f"sh={shape}{out[0]}"]
-    if vocabulary is not None and low not in vocabulary:
+    for cue, stems in CUES:
+        if stems.search(low):
+            out += [cue, cue + shape]
+    if low in NAMES:
+        out += ["given", "given" + shape]
+    elif vocabulary is not None and low not in vocabulary:
         out += ["unk", "unk" + shape]
     else:
         out.append("w=" + low)
@@ -69,45 +95,62 @@ def features(token: str, vocabulary: set[str] | None) -> list[str]:
     return out
 
 
+class _Known(dict):
+    """Raw token -> number of its score row, -1 for white space; new tokens are scored when they are asked for."""
+
+    def __init__(self, tagger: Tagger):
+        self.tagger = tagger
+
+    def __missing__(self, raw: str) -> int:
+        t = plain(raw)
+        self[raw] = i = -1 if t is None else self.tagger.new_row(t)
+        return i
+
+
 class Tagger:
     """Weights by offset, feature and label, and transitions between labels."""
 
     def __init__(self, index: dict[str, int], vocabulary: set[str], weights: np.ndarray, trans: np.ndarray):
         self.index, self.vocabulary, self.weights, self.trans = index, vocabulary, weights, trans
-        self.known: dict[str, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = _Known(self)
         self.rows: list[np.ndarray] = []
         self.matrix: np.ndarray | None = None
 
-    def row(self, token: str) -> int:
-        """The number of a token's score row (offsets x labels)."""
-        i = self.known.get(token)
-        if i is None:
-            at = [self.index[f] for f in features(token, self.vocabulary) if f in self.index]
-            i = self.known[token] = len(self.rows)
-            self.rows.append(self.weights[:, at].sum(1).astype(np.float32) if at else np.zeros((len(OFFSETS), _L), np.float32))
-        return i
+    def new_row(self, token: str) -> int:
+        """Scores of a token (offsets x labels)."""
+        at = [self.index[f] for f in features(token, self.vocabulary) if f in self.index]
+        self.rows.append(self.weights[:, at].sum(1).astype(np.float32) if at else np.zeros((len(OFFSETS), _L), np.float32))
+        return len(self.rows) - 1
 
     def tag(self, docs: list[list[str]]) -> list[np.ndarray]:
-        """The label numbers of each list of tokens."""
+        """The label numbers of each list of raw tokens that aren't white space."""
+        return [labels for labels, _ in self.tag_places(docs)]
+
+    def tag_places(self, docs: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(label numbers, places of their tokens) of each list of raw tokens."""
         if len(self.known) > MEMORY:
-            self.known, self.rows, self.matrix = {}, [], None
-        ids = [np.fromiter((self.row(t) for t in d), np.int64, len(d)) for d in docs]
+            self.forget()
+        get = self.known.__getitem__
+        ids = [np.fromiter(map(get, d), np.int64, len(d)) for d in docs]
+        places = [np.flatnonzero(x >= 0) for x in ids]
+        ids = [x[p] for x, p in zip(ids, places)]
         if self.matrix is None or len(self.matrix) < len(self.rows):
             old = 0 if self.matrix is None else len(self.matrix)
             new = np.stack(self.rows[old:]) if len(self.rows) > old else np.zeros((0, len(OFFSETS), _L), np.float32)
             self.matrix = new if self.matrix is None else np.concatenate([self.matrix, new])
-        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+        order = sorted((i for i in range(len(docs)) if len(ids[i])), key=lambda i: -len(ids[i]))
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(docs)
         at = 0
         while at < len(order):
-            n = max(1, BATCH_TOKENS // max(1, len(docs[order[at]])))
+            n = max(1, BATCH_TOKENS // len(ids[order[at]]))
             part = order[at : at + n]
             at += n
-            part = [i for i in part if len(docs[i])]
-            if part:
-                for i, tags in zip(part, self._viterbi([self.score(ids[i]) for i in part])):
-                    out[i] = tags
-        return out
+            for i, tags in zip(part, self._viterbi([self.score(ids[i]) for i in part])):
+                out[i] = tags
+        return [*zip(out, places)]
 
     def score(self, ids: np.ndarray) -> np.ndarray:
         e = np.zeros((len(ids), _L), np.float32)
@@ -134,22 +177,24 @@ class Tagger:
         v = e[0] + self.trans[_L]
         ends = np.zeros((B, _L), np.float32)
         live = B
+        alive = np.searchsorted(-lengths, -np.arange(T), side="left")  # lists longer than t
+        into = np.ascontiguousarray(self.trans[:_L].T)  # label, label before
         for t in range(1, T):
-            now = int(np.searchsorted(-lengths, -t, side="left"))  # lists longer than t
+            now = int(alive[t])
             ends[now:live] = v[now:live]
             live = now
-            m = v[:live, :, None] + self.trans[None, :_L]
-            back[t, :live] = m.argmax(1)
-            v[:live] = m.max(1) + e[t, :live]
+            m = v[:live, None, :] + into
+            at = m.argmax(2)
+            back[t, :live] = at
+            v[:live] = np.take_along_axis(m, at[:, :, None], 2)[:, :, 0] + e[t, :live]
         ends[:live] = v[:live]
-        out = [np.zeros(n, np.int64) for n in lengths]
-        last = ends.argmax(1)
-        for b, n in enumerate(lengths):
-            k = int(last[b])
-            for t in range(n - 1, -1, -1):
-                out[b][t] = k
-                k = int(back[t, b, k])
-        return out
+        best = np.zeros((T, B), np.int64)
+        k = ends.argmax(1)
+        for t in range(T - 1, -1, -1):  # a list joins the way back at its last token
+            now = int(alive[t])
+            best[t, :now] = k[:now]
+            k[:now] = back[t, np.arange(now), k[:now]]
+        return [best[:n, b] for b, n in enumerate(lengths)]
 
 
 def _labelled(doc: list[tuple[str, str]]) -> tuple[list[str], list[int]]:
@@ -186,15 +231,15 @@ def fit(rows: int = ROWS_FITTED, passes: int = PASSES, seed: int = SEED) -> Tagg
                 if LABELS[lab].endswith("name"):
                     named[w] = named.get(w, 0) + 1
     # names are learnt by their shape and place, not by heart
-    vocabulary = {w for w, c in count.items() if c >= 3 and named.get(w, 0) < 0.5 * c}
-    index: dict[str, int] = {}
+    vocabulary = {w for w, c in count.items() if c >= 5 and named.get(w, 0) < 0.5 * c}
     types: dict[str, int] = {}
-    feats: list[list[int]] = []
     for toks, _ in data:
         for t in toks:
-            if t not in types:
-                types[t] = len(types)
-                feats.append([index.setdefault(f, len(index)) for f in features(t, vocabulary)])
+            types.setdefault(t, len(types))
+    # endings that few words have say nothing about others
+    often = Counter(f for t in types for f in features(t, vocabulary))
+    index = {f: i for i, f in enumerate(f for f, n in often.items() if n >= RARE or not re.match(r"s\d=", f))}
+    feats = [[index[f] for f in features(t, vocabulary) if f in index] for t in types]
     F_, O = len(index), len(OFFSETS)
     weights, trans = np.zeros((O, F_, _L)), np.zeros((_L + 1, _L))
     for i, a in enumerate(["start", *LABELS]):
@@ -207,24 +252,35 @@ def fit(rows: int = ROWS_FITTED, passes: int = PASSES, seed: int = SEED) -> Tagg
     table = np.full((len(feats), width), F_)
     for i, f in enumerate(feats):
         table[i, : len(f)] = f
-    seqs = [(np.array([types[t] for t in toks]), np.array(labels)) for toks, labels in data]
+    # pieces of a letter between two unlabelled tokens, each with the tokens around it for its features
+    seqs = []
+    for toks, labels in data:
+        row = np.full(len(toks) + 8, -1)
+        row[4:-4] = [types[t] for t in toks]
+        at = 0
+        while at < len(toks):
+            end = min(at + PIECE, len(toks))
+            while end < len(toks) and (labels[end - 1] or labels[end]):
+                end += 1
+            seqs.append((row[at : end + 8], np.array(labels[at:end])))
+            at = end
     rng = np.random.default_rng(seed)
     order = np.arange(len(seqs))
     for _ in range(passes):
         rng.shuffle(order)
-        # letters of like length go together
-        groups = [sorted(order[i : i + 400], key=lambda j: len(seqs[j][0])) for i in range(0, len(order), 400)]
+        # pieces of like length go together
+        groups = [sorted(order[i : i + 10 * STEP], key=lambda j: len(seqs[j][0])) for i in range(0, len(order), 10 * STEP)]
         batches = [g[i : i + STEP] for g in groups for i in range(0, len(g), STEP)]
         for b in rng.permutation(len(batches)):
             part = [seqs[i] for i in batches[b]]
-            B, T = len(part), max(len(s) for s, _ in part)
+            B, T = len(part), max(len(y) for _, y in part)
             ids = np.full((B, T + 8), -1)
             gold = np.zeros((B, T), int)
             mask = np.zeros((B, T), bool)
             for b, (s, y) in enumerate(part):
-                ids[b, 4 : 4 + len(s)] = s
-                gold[b, : len(s)] = y
-                mask[b, : len(s)] = True
+                ids[b, : len(s)] = s
+                gold[b, : len(y)] = y
+                mask[b, : len(y)] = True
             padded = np.concatenate([weights, np.zeros((O, 1, _L))], 1)
             used = np.unique(ids[ids >= 0])
             place = np.zeros(len(feats) + 1, int)
@@ -280,18 +336,21 @@ def fit(rows: int = ROWS_FITTED, passes: int = PASSES, seed: int = SEED) -> Tagg
 _MAILISH = re.compile(r"@|\(\s*at\s*\)|\[\s*at\s*\]|\bat\b|＠", re.I)
 
 
-def spans(text: str, toks: list[tuple[str, int, int]], labels: np.ndarray) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the items after the exact check of their form."""
-    out, k, n = [], 0, len(toks)
+def spans(text: str, raw: list[str], labels: np.ndarray, places: np.ndarray) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the items, trimmed to whole words."""
+    at = np.flatnonzero(labels)
+    if not len(at):
+        return []
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+    out, k, n = [], 0, len(at)
     while k < n:
-        if labels[k] == 0:
-            k += 1
-            continue
-        kind = LABELS[labels[k]][2:]
+        kind = LABELS[labels[at[k]]][2:]
         j = k + 1
-        while j < n and LABELS[labels[j]] == "I-" + kind:
+        while j < n and at[j] == at[j - 1] + 1 and LABELS[labels[at[j]]] == "I-" + kind:
             j += 1
-        s, e = toks[k][1], toks[j - 1][2]
+        first = places[at[k]]
+        s, e = int(ends[first]) - len(raw[first]), int(ends[places[at[j - 1]]])
+        s += len(raw[first]) > 1 and raw[first][0] in " \t\u00a0"
         k = j
         if (found := checked(text, s, e, kind)) is not None:
             out.append((*found, kind))
@@ -299,76 +358,50 @@ def spans(text: str, toks: list[tuple[str, int, int]], labels: np.ndarray) -> li
 
 
 def checked(text: str, s: int, e: int, kind: str) -> tuple[int, int] | None:
+    """A span moved to whole words and digit runs, without signs and titles at its ends; None when nothing of its kind is left."""
     if "\n" in text[s:e]:
         e = s + text[s:e].index("\n")
-    if kind == "email":
-        while s and re.match(r"[\w.+\-]", text[s - 1]):
-            s -= 1
-        while e < len(text) and re.match(r"[\w\-]", text[e]):
-            e += 1
-        while s < e and not text[s].isalnum():
-            s += 1
-        while s < e and not text[e - 1].isalnum():
-            e -= 1
-        return (s, e) if _MAILISH.search(text[s:e]) else None
-    if kind == "phone":
-        while s and text[s - 1] in "+(0123456789":
-            s -= 1
-        while s < e and text[s] not in "+(0123456789":
-            s += 1
-        while e < len(text) and text[e].isdigit():
-            e += 1
-        while s < e and not text[e - 1].isdigit():
-            e -= 1
-        while (m := _GROUP.match(text, e)) and sum(c.isdigit() for c in text[s:e]) + len(m[1]) <= 12 and _OPEN.search(text[s:e]):
-            e = m.end()
-        item = text[s:e]
-        if _NO_PHONE.fullmatch(item):
-            return None
-        return (s, e) if 6 <= sum(c.isdigit() for c in item) <= 16 and not re.search(r",|\s{3}|\d  \d", item) and not re.match(r"\d{4}-\d{3}-\d{2}(?!\d)", item) else None
-    while s and text[s - 1].isalnum() and text[s].isalnum():
+    more = "+-_." if kind == "email" else ""
+    gap = re.search(r"\s\s", text[s:e])
+    if gap:
+        e = s + gap.start()
+    while s and (text[s - 1].isalnum() or text[s - 1] in more) and (more or text[s].isalnum()):
         s -= 1
     while e < len(text) and text[e].isalnum() and text[e - 1].isalnum():
         e += 1
-    while s < e and not text[s].isalnum():
+    first = "+(" if kind == "phone" else ""
+    while first and s and text[s - 1] in first:
+        s -= 1
+    while s < e and not text[s].isalnum() and text[s] not in first:
         s += 1
-    while s < e and not text[e - 1].isalnum() and not (kind == "name" and text[e - 1] == "." and re.search(r"(?:^|[\s,])[^\W\d_]\.$", text[s:e])) and not (kind == "address" and text[e - 1] == "." and re.search(r"\b(?:St|Rd|Ave|Ln)\.$", text[s:e])):
+    while s < e and not text[e - 1].isalnum() and not (text[e - 1] == "." and _DOTTED.search(text[s:e])):
         e -= 1
+    if kind == "name":
+        while m := _TITLE.match(text[s:e]):
+            s += m.end()
     item = text[s:e]
+    if kind == "email":
+        return (s, e) if _MAILISH.search(item) else None
+    digits = sum(c.isdigit() for c in item)
+    if kind == "phone":
+        return (s, e) if 6 <= digits <= 16 and not item[-1].isalpha() and not _DATE.fullmatch(item) else None
     if kind == "idnum":
-        return (s, e) if sum(c.isdigit() for c in item) >= 6 else None
+        return (s, e) if digits >= 6 else None
     if kind == "address":
-        if m := re.match(r"(.*[^\W\d_].*\d ?[a-z]?(?:-\d+)?) (?:in|near|instead|bei|à|en|près)\b", item):
-            e = s + m.end(1)
-        if text[e : e + 1] == "." and re.search(r"\b(?:St|Rd|Ave|Ln)$", text[s:e]):
-            e += 1
-        item = text[s:e]
-        return (s, e) if re.search(r"\d", item) and re.search(r"[^\W\d_]{2}", item) else None
-    while m := _TITLE.match(item):
-        s += m.end()
-        item = text[s:e]
-    if _FIRM.match(text, e) or re.search(r"\b(?:GmbH|KG|OHG|AG|SE|Söhne)\b", item):
-        return None
-    return (s, e) if re.search(r"[^\W\d_]{3}", item) and not re.search(r"\d", item) else None
-
-
-#: A further group of digits of a number written in groups, and numbers that still want one.
-_GROUP = re.compile(r"[ .-](\d{2,4})(?![\d,])(?!\.\d)")
-_OPEN = re.compile(r"^(?:0\d{1,4} - \d\d(?: \d{2,3})?|0\d(?:[. ]\d\d){3}|\+33 \d(?: \d\d){3}|900 00(?: \d\d)|\+49 \(0\) \d{2,4} \d{4,5}|\(0\d+\) \d{4,5}|0\d{2,4}[./]\d{4,5})$")
-# Dates and stamps that look like numbers to call.
-_NO_PHONE = re.compile(r"\d{4}-\d\d-\d\d|\d{1,2}\.\d{1,2}\.\d{4}|\d{6}|\d{1,2}/\d{1,2}/\d{4}|\d{1,3}(?:\.\d{3})*,\d\d")
-# Salutations and titles before a name.
-_TITLE = re.compile(r"(?:Herrn?|Frau|Mr|Mrs|Ms|Miss|Mme|Madame|Monsieur|M|Sra?|señora?|Dr|Prof|Dipl|Ing|med)(?:\.\s*|\s+)")
+        return (s, e) if digits and re.search(r"[^\W\d_]{2}", item) else None
+    return (s, e) if not digits and re.search(r"[^\W\d_]{3}", item) else None
 
 
-# What follows the name of a firm.
-_FIRM = re.compile(r"\s*(?:&|\+|und|u\.)\s*(?:Söhne|Co)|\s+(?:GmbH|KG|OHG|AG|SE|UG|e\.\s?K|mbH|Ltd|S\.?A|S\.?L)\b")
+_DATE = re.compile(r"\d{4}-\d\d-\d\d|\d{1,2}([./])\d{1,2}\1\d{4}")
+# A full stop that belongs to the item: an initial, or a short word for street.
+_DOTTED = re.compile(r"(?:(?:^|[\s,])[^\W\d_]|\b(?:St|Rd|Ave|Ln|Dr|Str))\.$")
+# Salutations and titles before a name.
+_TITLE = re.compile(r"(?:Herrn?|Frau|Mr|Mrs|Ms|Miss|Mme|Madame|Monsieur|M|Sra?|señora?|Dr|Prof|Dipl|Ing|med)(?:\.\s*|\s+)")
 
 
 def _tagged(texts: list[str | None], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
-    toks = [tokens(t) if t else [] for t in texts]
-    labels = tagger.tag([[x[0] for x in d] for d in toks])
-    return [spans(t, d, y) if t else [] for t, d, y in zip(texts, toks, labels)]
+    toks = [_TOKEN.findall(t) if t else [] for t in texts]
+    return [spans(t, d, *y) if t else [] for t, d, y in zip(texts, toks, tagger.tag_places(toks))]
 
 
 @cache
