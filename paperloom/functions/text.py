@@ -40,6 +40,16 @@ def classifier_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(transliterate(F.lower(c)), r"[_:/\\-]+", " "), r"\s+", " ")
 
 
+def plain_classifier_text(text: str) -> str:
+    """The same for a word known beforehand."""
+    import re
+
+    text = text.lower()
+    for a, b in UMLAUTS:
+        text = text.replace(a, b)
+    return re.sub(r"\s+", " ", re.sub(r"[_:/\\-]+", " ", text))
+
+
 def safe_filename(c: Column, default: str = "Unbekannt") -> Column:
     s = F.regexp_replace(F.regexp_replace(transliterate(c), r"\s+", "_"), r"[^A-Za-z0-9._-]+", "_")
     s = F.regexp_replace(F.regexp_replace(s, "_+", "_"), r"^[._-]+|[._-]+$", "")

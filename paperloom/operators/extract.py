@@ -8,23 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import classifier_text, parse_date, supplier_key
+from paperloom.functions.text import supplier_key
 
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 #: A dimension that is sent to every task must not be longer.
 MAX_DIMENSION = 50_000
-# Words and weights of document types.
-TYPE_KEYWORDS = (
-    ("RECHNUNG", "rechnung", 0.9), ("RECHNUNG", "invoice", 0.9), ("RECHNUNG", "facture", 0.9), ("RECHNUNG", "factura", 0.9), ("RECHNUNG", "rechnungsbetrag", 0.5),
-    ("LIEFERSCHEIN", "lieferschein", 0.9), ("LIEFERSCHEIN", "delivery note", 0.9), ("LIEFERSCHEIN", "packstuecke", 0.3),
-    ("GUTSCHRIFT", "gutschrift", 0.9), ("GUTSCHRIFT", "credit note", 0.9), ("MAHNUNG", "mahnung", 0.9), ("MAHNUNG", "payment reminder", 0.9),
-    ("PRUEFBERICHT", "pruefbericht", 0.9), ("PRUEFBERICHT", "inspection report", 0.9), ("PRUEFBERICHT", "messwert", 0.3),
-    ("AUFTRAGSBESTAETIGUNG", "auftragsbestaetigung", 0.9), ("REKLAMATION", "reklamation", 0.9), ("REKLAMATION", "complaint", 0.9), ("TELEFONNOTIZ", "telefonnotiz", 0.9),
-)
-# The month names the reference reads.
-MONTHS = {n: k for k, names in enumerate(("jan januar", "feb februar", "mar maer maerz märz", "apr april", "mai may", "jun juni", "jul juli", "aug august", "sep sept september", "okt oktober", "nov november", "dez dezember"), 1) for n in names.split()}
-# The weight of a segment of the page.
-SEGMENT_WEIGHT = {"header": 2.0, "body": 1.0, "footer": 0.5}
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -55,60 +43,6 @@ def recipient_block(ls: DataFrame, max_lines: int = 15) -> DataFrame:
     return x.where(f"start is not null and line_no - start < {max_lines} and coalesce(blank, -1) < start").select("doc_id", "line_no", "line")
 
 
-def date_hits(ls: DataFrame) -> DataFrame:
-    """Dates with the score of their line: 10, +50 a date label (month names 60, +40), +20 the first ten lines, -60 a due date.
-
-    Read are d.m.yyyy, yyyy-mm-dd, d/m/yyyy, both with a year of two digits (from 70 on 19xx) and d. month yyyy.
-    """
-    found = lambda p: F.regexp_extract_all("line", F.lit(p), F.lit(0))
-    full = F.concat(found(r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}"), found(r"(?<![0-9/.])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])"))
-    # a telephone number of pairs is no date
-    short = found(r"(?<![0-9/.])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{2}(?![./]?[0-9])")
-    short = F.transform(short, lambda x: F.concat(F.regexp_replace(x, "[0-9]{2}$", ""), F.when(F.right(x, F.lit(2)) >= "70", "19").otherwise("20"), F.right(x, F.lit(2))))
-    name = r"(?<![0-9])([0-9]{1,2})[.\s]+(\p{L}+)[.\s]+([0-9]{4})(?![0-9])"
-    months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    part = lambda x, k: F.regexp_extract(x, name, k)
-    named = F.transform(found(name), lambda x: F.concat(part(x, 1), F.lit("."), F.element_at(months, F.lower(part(x, 2))).cast("string"), F.lit("."), part(x, 3)))
-    of = lambda raws, base, label: F.transform(raws, lambda x: F.struct(x.alias("raw"), F.lit(base).alias("base"), F.lit(label).alias("label")))
-    hit = F.explode(F.concat(of(F.concat(full, short), 10, 50), of(named, 60, 40)))
-    low = F.lower("line")
-    score = F.col("h.base") + F.when(low.rlike("datum|dated|date|fecha|vom "), F.col("h.label")).otherwise(0) + F.when(F.col("line_no") < 10, 20).otherwise(0) - F.when(low.rlike("fällig|zahlbar bis|liefertermin|abholung"), 60).otherwise(0)
-    hits = ls.withColumn("h", hit).select("doc_id", "line_no", score.alias("score"), F.col("h.raw").alias("raw"))
-    return hits.withColumn("date", parse_date(F.col("raw"), ("d.M.yyyy", "yyyy-MM-dd", "d/M/yyyy"))).where("date is not null")
-
-
-def best_dates(ls: DataFrame) -> DataFrame:
-    """The date of the highest score of each document, then the earliest line, then the earliest date."""
-    return date_hits(ls).groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "line_no", "date")).alias("b")).select("doc_id", "b.date", (-F.col("b.s")).alias("score"))
-
-
-def document_numbers(ls: DataFrame) -> DataFrame:
-    """The first plausible number after a number label: four characters or more, a digit, no date, no IBAN, no amount."""
-    label = r"(?:Nr\.|Nummer:|No\.|number:|Vorgang|Beleg-Nr\.|Ref\.|Réf\.|n\.º)"
-    hit = F.regexp_extract("line", label + r"\s*([A-Z]{0,3}-?[0-9][0-9/-]{3,})", 1)
-    good = (F.length("number") >= 4) & ~F.col("number").rlike(r"^[0-9]{1,2}\.[0-9]{1,2}\.|^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^DE[0-9]{20}$")
-    x = ls.select("doc_id", "line_no", hit.alias("number")).where(good)
-    return x.groupBy("doc_id").agg(F.min(F.struct("line_no", "number")).alias("m")).select("doc_id", "m.number")
-
-
-def classify(docs: DataFrame, header: int = 5, footer: int = 5) -> DataFrame:
-    """(doc_id, doc_type, score): keywords count once per segment with its weight; ties by name, no hit SONSTIGES.
-
-    A document is cut into its segments in place and all keywords are tested in one pass over each; nothing is joined.
-    """
-    n = F.size("a")
-    h, f = F.least(F.lit(header), n), F.least(F.lit(footer), n)
-    parts = {"header": F.slice("a", 1, h), "body": F.slice("a", h + 1, F.greatest(n - h - f, F.lit(0))), "footer": F.slice("a", n - f + 1, f)}
-    one = lambda name: F.struct(F.lit(name).alias("segment"), classifier_text(F.array_join(parts[name], "\n")).alias("t"))
-    seg = docs.where("text is not null").select("doc_id", line_array(F.col("text")).alias("a")).select("doc_id", F.explode(F.array(*[one(k) for k in parts])).alias("s")).select("doc_id", "s.segment", "s.t")
-    t = F.col("t")
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in SEGMENT_WEIGHT.items() for x in kv]), F.col("segment"))
-    hits = F.array_compact(F.array(*[F.when(F.contains(t, F.lit(k)), F.struct(F.lit(d).alias("doc_type"), F.lit(w).alias("w"))) for d, k, w in TYPE_KEYWORDS]))
-    s = seg.select("doc_id", weight.alias("sw"), F.explode(hits).alias("h")).groupBy("doc_id", "h.doc_type").agg(F.round(F.sum(F.col("sw") * F.col("h.w")), 4).alias("score"))
-    best = s.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "doc_type")).alias("b")).select("doc_id", "b.doc_type", (-F.col("b.s")).alias("score"))
-    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("doc_type", F.lit("SONSTIGES")).alias("doc_type"), F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
 def contained_names(docs: DataFrame, dimension: DataFrame) -> DataFrame:
     """(doc_id, name_id, n_found) of the first name, by id, whose normal form lies in the document's; any position counts.
 

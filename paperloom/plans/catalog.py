@@ -169,25 +169,6 @@ def d02_segments(s, d):
     return g.groupBy("doc_id").agg(*[F.count_if(F.col("segment") == x).alias(x) for x in ("header", "body", "footer")])
 
 
-@query(rf"""with h as (select doc_id, line_no, 10 + case when regexp_matches(lower(line), 'datum|dated|date|fecha|vom ') then 50 else 0 end + case when line_no < 10 then 20 else 0 end - case when regexp_matches(lower(line), 'fällig|zahlbar bis|liefertermin|abholung') then 60 else 0 end s,
- unnest(regexp_extract_all(line, '([0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1)) raw from {LINES}),
- p as (select doc_id, line_no, s, cast(coalesce(try_strptime(raw,'%d.%m.%Y'), try_strptime(raw,'%Y-%m-%d')) as date) dt from h)
- select doc_id, dt as date, s as score from (select *, row_number() over (partition by doc_id order by s desc, line_no, dt) k from p where dt is not null and year(dt) between 1990 and 2100) where k = 1""")
-def d10_best_dates(s, d):
-    return extract.best_dates(extract.lines(documents(s, d)))
-
-
-@query("with kw(doc_type,k,w) as (values " + ",".join(f"('{a}','{b}',{c})" for a, b, c in extract.TYPE_KEYWORDS) + "), seg as (select doc_id, line_no, line, unnest(list_filter([case when line_no < 5 then 'header' end, case when line_no >= 5 and line_no < n - 5 then 'body' end, case when line_no >= n - 5 then 'footer' end], lambda x: x is not null)) segment from " + LINES + "), t as (select doc_id, segment, regexp_replace(regexp_replace(" + "replace(replace(replace(replace(lower(string_agg(line, chr(10) order by line_no)),'ä','ae'),'ö','oe'),'ü','ue'),'ß','ss')" + ", '[_:/\\\\-]+',' ','g'),'\\s+',' ','g') t from seg group by all), sc as (select doc_id, doc_type, round(sum(w * case segment when 'header' then 2.0 when 'body' then 1.0 else 0.5 end), 4)::double score from t join kw on contains(t, k) group by all), b as (select *, row_number() over (partition by doc_id order by score desc, doc_type) r from sc) select d.doc_id, coalesce(b.doc_type,'SONSTIGES') doc_type, coalesce(b.score,0.0)::double score from documents d left join b on d.doc_id = b.doc_id and r = 1")
-def d30_document_types(s, d):
-    return extract.classify(documents(s, d))
-
-
-@query(rf"""with h as (select doc_id, line_no, regexp_extract(line, '(?:Nr\.|Nummer:|No\.|number:|Vorgang|Beleg-Nr\.|Ref\.|Réf\.|n\.º)\s*([A-Z]{{0,3}}-?[0-9][0-9/-]{{3,}})', 1) number from {LINES})
- select doc_id, number from (select *, row_number() over (partition by doc_id order by line_no, number) k from h where length(number) >= 4 and not regexp_matches(number, '^[0-9]{{1,2}}\.[0-9]{{1,2}}\.|^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$|^DE[0-9]{{20}}$')) where k = 1""")
-def d40_document_numbers(s, d):
-    return extract.document_numbers(extract.lines(documents(s, d)))
-
-
 @query(f"with n as (select ref_id, {KEY.format('ref_name')} k from supplier_ref), t as (select doc_id, {KEY.format('text')} t from documents where text is not null) select doc_id, min(ref_id) name_id, count(*) n_found from t join n on contains(t, k) group by doc_id")
 def j01_contained_suppliers(s, d):
     return extract.contained_names(documents(s, d), table(s, d, "supplier_ref").select(F.col("ref_id").alias("name_id"), F.col("ref_name").alias("name")))
