@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import plain_classifier_text
-from paperloom.operators import dates, doctypes, numbers
-from paperloom.plans.catalog import L, LINES, documents, once, query
+from paperloom.operators import dates, doctypes, numbers, suppliers
+from paperloom.plans.catalog import KEY, L, LINES, M, documents, once, query
+from paperloom.session import table
 
 SOLID = f"(select doc_id, row_number() over (partition by doc_id order by line_no) idx, regexp_replace(line, '^\\s+|\\s+$', '', 'g') line from {LINES} where regexp_matches(line, '\\S'))"
 
@@ -246,3 +247,60 @@ def _plates() -> str:
 @query(_plates())
 def f35_plates(s, d):
     return numbers.plates(documents(s, d))
+
+
+# --- suppliers
+
+
+_FORM = "\\s+(GmbH & Co\\. KG|GmbH|KG|OHG|AG|SE|e\\.K\\.)$"
+
+
+def _supplier_dims(s, d):
+    r = table(s, d, "supplier_ref")
+    bare = F.regexp_replace("ref_name", _FORM, "")
+    aliases = r.select((F.col("ref_id") * 10).alias("ord"), F.col("ref_name").alias("canonical"), F.explode(F.array("ref_name", bare)).alias("alias")).select((F.col("ord") + (F.col("alias") != F.col("canonical")).cast("int")).alias("ord"), "canonical", "alias").distinct()
+    first = F.substring_index("ref_name", " ", 1)
+    patterns = r.where("ref_id % 7 = 0").select(F.col("ref_id").alias("ord"), F.col("ref_name").alias("canonical"), F.concat(F.lit("(?i)^"), first).alias("pattern"))
+    contexts = r.select(F.col("ref_id").alias("ord"), F.col("ref_name").alias("canonical"), first.alias("trigger"), F.col("city").alias("word"))
+    return aliases, patterns, contexts
+
+
+_KEY = KEY.format
+_CANON = f"""with r as (select ref_id, ref_name, city, split_part(ref_name, ' ', 1) w from supplier_ref), a as (select distinct ref_id * 10 + (alias <> canonical)::int ord, canonical, alias from (select ref_id, ref_name canonical, unnest([ref_name, regexp_replace(ref_name, '{_FORM}', '')]) alias from r)),
+ n as (select match_id, canonical_name raw, lower(canonical_name) low, {_KEY('canonical_name')} k, lower(canonical_name || ' ' || coalesce(matched_alias, '')) txt from {M} where trim(canonical_name) <> ''),
+ e as (select match_id, arg_min(canonical, ord) canonical, arg_min(alias, ord) matched, arg_min(eq, ord) eq from (select n.match_id, a.*, (lower(alias) = low or (k <> '' and {_KEY('alias')} = k)) eq from n join a on lower(alias) = low or (k <> '' and {_KEY('alias')} = k)
+   or ((contains(low, lower(alias)) or contains(lower(alias), low)) and least(length(alias), length(low)) >= 0.7 * greatest(length(alias), length(low)))) group by 1),
+ p as (select match_id, arg_min(ref_name, ref_id) canonical, arg_min(regexp_extract(raw, '(?i)^' || w), ref_id) matched from n join r on ref_id % 7 = 0 and regexp_matches(raw, '(?i)^' || w) group by 1),
+ c as (select match_id, arg_min(ref_name, ref_id) canonical, arg_min(w, ref_id) matched from n join r on contains(low, lower(w)) and contains(txt, lower(city)) group by 1)
+ select match_id rec_id, coalesce(e.canonical, p.canonical, c.canonical) canonical, case when e.canonical is not null then case when eq then 0.95 else 0.85 end when p.canonical is not null then 0.90 else 0.75 end::double confidence, coalesce(e.matched, p.matched, c.matched) matched,
+ case when e.canonical is not null then case when eq then 'exact' else 'substring' end when p.canonical is not null then 'regex' else 'context' end match_type from n left join e using (match_id) left join p using (match_id) left join c using (match_id) where coalesce(e.canonical, p.canonical, c.canonical) is not null"""
+
+
+@query(_CANON)
+def d23_canonical_suppliers(s, d):
+    m = once(s, d, "supplier_matches", "match_id")
+    n = m.select(F.col("match_id").alias("rec_id"), F.col("canonical_name").alias("raw"), F.concat_ws(" ", "canonical_name", "matched_alias").alias("full_text"))
+    return suppliers.canonicalise(n, *_supplier_dims(s, d))
+
+
+def _prints() -> str:
+    plain = lambda c: f"trim(regexp_replace(regexp_replace(lower(trim({c})), '[^\\pL\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    fold = lambda c: f"translate({c}, '0l15348', 'oiiseab')"
+    words = lambda c: f"list_distinct(list_filter(string_split({c}, ' '), lambda w: length(w) >= 3))"
+    grams = lambda c: f"list_sort(list_distinct(list_transform(generate_series(1, length(replace({c}, ' ', '')) - 2), lambda i: substr(replace({c}, ' ', ''), i::integer, 3))))[1:10]"
+    return f"""with r as (select ref_id name_id, lower(ref_name) low, {plain('ref_name')} n, {plain('ref_code')} a from supplier_ref), k as (select *, list_distinct(list_concat({words('n')}, {words('a')})) w, {grams('n')} g, {fold('n')} f from r),
+ d as (select doc_id, {plain('text')} t from documents where text is not null), e as (select *, {words('t')} w, case when length(replace(t, ' ', '')) >= 3 then {grams('t')} else [] end g, {fold('t')} f from d),
+ s as (select doc_id, name_id, contains(t, low)::int * 1.0::double + contains(t, a)::int * 0.95::double + contains(e.f, k.f)::int * 0.8::double + 0.7::double * len(list_intersect(e.w, k.w)) / len(k.w) + case when len(list_intersect(e.g, k.g)) > 0.3 * len(list_distinct(list_concat(e.g, k.g))) then 0.5::double * len(list_intersect(e.g, k.g)) / len(list_distinct(list_concat(e.g, k.g))) else 0 end s from e, k),
+ o as (select *, round(s, 9) v, row_number() over (partition by doc_id order by round(s, 9) desc, name_id) rk, max(round(s, 9)) over (partition by doc_id) mx from s where s > 0) select doc_id, cast(rk as integer) as rank, name_id, round(least(v / greatest(1.0, mx), 1.0), 6)::double score from o where rk <= 3"""
+
+
+@query(_prints())
+def d25_fingerprints(s, d):
+    r = table(s, d, "supplier_ref").select(F.col("ref_id").alias("name_id"), F.col("ref_name").alias("name"), F.array("ref_code").alias("aliases"))
+    return suppliers.fingerprints(documents(s, d), r)
+
+
+@query(f"select match_id, canonical_name from {M} m where canonical_name is not null and not exists (select 1 from supplier_ref r where r.ref_id % 48 = 0 and contains({_KEY('m.canonical_name')}, {_KEY('r.city')}))")
+def j05_not_blocked(s, d):
+    m = once(s, d, "supplier_matches", "match_id").where("canonical_name is not null").select("match_id", "canonical_name")
+    return suppliers.without_blocked(m, table(s, d, "supplier_ref").where("ref_id % 48 = 0").select(F.col("city").alias("word")).distinct(), "canonical_name")
