@@ -12,7 +12,7 @@ UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
 # Month names of folders and long dates.
 MONTHS_DE = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
 # The tokens a file name template may hold.
-TEMPLATE_TOKENS = ("supplier", "date", "docno", "doctype", "year", "month", "day", "yyyymm")
+TEMPLATE_TOKENS = ("supplier", "date", "date_iso", "doc_number", "doctype", "year", "month", "day")
 
 
 def squeeze(c: Column) -> Column:
@@ -76,6 +76,12 @@ def file_stem(supplier: Column, date: Column, number: Column, width: int = 120)
     return cut_with_hash(parts, width)
 
 
+def template_value(c: Column) -> Column:
+    """A value without signs that file names can't hold, slashes as one underscore, none at its ends."""
+    v = F.regexp_replace(F.regexp_replace(c, r"[/\\]", "_"), r'[<>:"|?*\x00-\x1f]', "")
+    return F.regexp_replace(F.regexp_replace(v, "_+", "_"), r"^[_. -]+|[_. -]+$", "")
+
+
 def render(template: str, values: dict[str, Column]) -> Column:
     """A file name template with {tokens}; separators left by empty values are removed. Unknown tokens raise."""
     import re
@@ -85,7 +91,7 @@ def render(template: str, values: dict[str, Column]) -> Column:
     out = F.lit(template)
     for t in TEMPLATE_TOKENS:
         if f"{{{t}}}" in template:
-            out = F.replace(out, F.lit(f"{{{t}}}"), F.coalesce(values[t], F.lit("")))
+            out = F.replace(out, F.lit(f"{{{t}}}"), F.coalesce(template_value(values[t]), F.lit("")))
     return F.regexp_replace(F.regexp_replace(out, "[_ -]*_[_ -]*", "_"), "^[_ -]+|[_ -]+$", "")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators.extract import line_array
+from paperloom.session import evaluated, present
 
 # The month names that are read.
 MONTHS = {n: k for k, names in enumerate(("jan januar", "feb februar", "mar maer maerz märz", "apr april", "mai may", "jun juni", "jul juli", "aug august", "sep sept september", "okt oktober", "nov november", "dez dezember"), 1) for n in names.split()}
@@ -90,12 +91,12 @@ def first_date(line: Column, patterns=PATTERNS) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, a): the lines of a text."""
-    return docs.where("text is not null").select("doc_id", line_array(F.col("text")).alias("a"))
+    return evaluated(docs.where("text is not null"), "doc_id", a=line_array(F.col("text")))
 
 
 def _solid(docs: DataFrame) -> DataFrame:
     """(doc_id, a): the lines that aren't blank, trimmed."""
-    return _lines(docs).select("doc_id", F.transform(F.filter("a", lambda x: x.rlike(r"\S")), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")).alias("a"))
+    return evaluated(_lines(docs), "doc_id", a=F.transform(F.filter("a", lambda x: x.rlike(r"\S")), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")))
 
 
 def context_score(low: Column, named: bool) -> Column:
@@ -120,8 +121,8 @@ def report_dates(docs: DataFrame) -> DataFrame:
         return F.when(~low.rlike(EXCLUDED) & (mark | low.rlike(r"\bvom\b")), F.transform(F.slice("a", i + 1, n), one))
 
     x = _solid(docs.where(has(F.lower("text"), REPORT))).select("doc_id", F.flatten(F.array_compact(F.transform("a", window))).alias("c"))
-    x = x.select("doc_id", F.array_min(F.filter("c", lambda c: c["d"].isNotNull())).alias("b"))
-    return x.where("b is not null").select("doc_id", "b.d", (-F.col("b.s")).alias("score")).withColumnRenamed("d", "date")
+    x = present(x, "doc_id", b=F.array_min(F.filter("c", lambda c: c["d"].isNotNull())))
+    return x.select("doc_id", "b.d", (-F.col("b.s")).alias("score")).withColumnRenamed("d", "date")
 
 
 def scored_dates(docs: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def scored_dates(docs: DataFrame) -> DataFrame:
         parts = [of(PATTERNS[2][0], "dmy", "de"), of(PATTERNS[4][0], "dmy", "de"), of(PATTERNS[0][0], "ymd", "iso"), of(PATTERNS[8][0], "name", "month_name")]
         return F.when(~low.rlike(EXCLUDED), F.filter(F.concat(*parts), lambda h: h["d"].isNotNull()))
 
-    x = _lines(docs).select("doc_id", F.array_min(F.flatten(F.array_compact(F.transform("a", hits)))).alias("b")).where("b is not null")
+    x = present(_lines(docs), "doc_id", b=F.array_min(F.flatten(F.array_compact(F.transform("a", hits)))))
     return x.select("doc_id", F.col("b.d").alias("date"), (-F.col("b.s")).alias("score"), "b.kind")
 
 
@@ -151,8 +152,7 @@ def best_dates(docs: DataFrame) -> DataFrame:
 
 def first_dates(docs: DataFrame) -> DataFrame:
     """(doc_id, date): the first date anywhere."""
-    x = _lines(docs).select("doc_id", F.filter(F.transform("a", lambda l: first_date(l)), lambda d: d.isNotNull()).alias("d"))
-    return x.where(F.size("d") > 0).select("doc_id", F.col("d")[0].alias("date"))
+    return present(_lines(docs), "doc_id", date=F.try_element_at(F.filter(F.transform("a", lambda l: first_date(l)), lambda d: d.isNotNull()), F.lit(1)))
 
 
 def priority_dates(docs: DataFrame) -> DataFrame:
@@ -163,22 +163,31 @@ def priority_dates(docs: DataFrame) -> DataFrame:
         low = F.lower(line)
         return F.coalesce(*[F.when(F.contains(low, F.lit(w)), first_date(F.substring(line, F.call_function("instr", low, F.lit(w)) + len(w), F.length(line)))) for w in beleg])
 
-    x = _solid(docs).select("doc_id", "a", F.transform("a", F.lower).alias("low"), F.transform("a", lambda l: first_date(l)).alias("any"))
-    x = x.select("*", F.transform("a", lambda l: F.when(F.contains(F.lower(l), F.lit("date")), first_date(l, PATTERNS[9:]))).alias("dash"), F.transform("a", lambda l: F.when(has(F.lower(l), beleg), after(l))).alias("after"))
+    # only lines with a digit can hold a date
+    digit = lambda l, d: F.when(l.rlike("[0-9]"), d)
+    x = evaluated(
+        _solid(docs), "doc_id", low=F.transform("a", F.lower), any=F.transform("a", lambda l: digit(l, first_date(l))),
+        dash=F.transform("a", lambda l: F.when(F.contains(F.lower(l), F.lit("date")), first_date(l, PATTERNS[9:]))), after=F.transform("a", lambda l: F.when(has(F.lower(l), beleg), after(l))),
+    )
+    places = {}
+    for labels, barred in dict.fromkeys((lab, bar) for _, lab, bar, _ in (*PRIORITIES, ("", ("abholdatum", "abhol-datum"), (), ""))):
+        places[labels, barred] = f"at{len(places)}"
+    spot = lambda labels, barred: F.array_position(F.transform("low", lambda l: has(l, labels) & ~has(l, barred) if barred else has(l, labels)), True).cast("int")
+    x = evaluated(x, "doc_id", "any", "dash", "after", **{n: spot(*k) for k, n in places.items()})
 
     def rule(labels: tuple[str, ...], barred: tuple[str, ...], how: str) -> Column:
-        at = F.array_position(F.transform("low", lambda l: has(l, labels) & ~has(l, barred) if barred else has(l, labels)), True).cast("int")
+        at = F.col(places[labels, barred])
         pick = lambda c: F.coalesce(F.try_element_at(c, at), F.try_element_at(c, at + 1))
         date = pick(F.col(how)) if how != "after" else F.coalesce(pick(F.col("after")), pick(F.col("any")))
         return F.when(at > 0, date)
 
     # a pick-up date without a date hands over to the order's date
-    pickup = F.when(F.exists("low", lambda l: has(l, ("abholdatum", "abhol-datum"))) & rule(("abholdatum", "abhol-datum"), (), "any").isNull(), rule(("auftragsdatum",), (), "any"))
+    pickup = F.when((F.col(places[("abholdatum", "abhol-datum"), ()]) > 0) & rule(("abholdatum", "abhol-datum"), (), "any").isNull(), rule(("auftragsdatum",), (), "any"))
     picks = [F.struct(pickup.alias("date"), F.lit("auftragsdatum").alias("source"))] + [F.struct(rule(l, b, h).alias("date"), F.lit(s).alias("source")) for s, l, b, h in PRIORITIES]
     anyway = F.filter("any", lambda d: d.isNotNull())
     picks.append(F.struct(F.when(F.size(anyway) > 0, anyway[0]).alias("date"), F.lit("fallback").alias("source")))
-    x = x.select("doc_id", F.filter(F.array(*picks), lambda p: p["date"].isNotNull()).alias("p")).where(F.size("p") > 0)
-    return x.select("doc_id", F.col("p")[0]["date"].alias("date"), F.col("p")[0]["source"].alias("source"))
+    x = present(x, "doc_id", p=F.try_element_at(F.filter(F.array(*picks), lambda p: p["date"].isNotNull()), F.lit(1)))
+    return x.select("doc_id", "p.date", "p.source")
 
 
 def repaired_digits(line: Column) -> Column:

@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import classifier_text, plain_classifier_text
+from paperloom.functions.text import plain_classifier_text, transliterate
 from paperloom.operators.extract import line_array
+from paperloom.session import evaluated
 
 # The types in their order, and a segment's weight.
 RE, LS, UE, KO, PR, OTHER = "RECHNUNG", "LIEFERSCHEIN", "ÜBERNAHMESCHEIN", "KOMMISSIONIERLISTE", "PRÜFBERICHT", "SONSTIGES"
@@ -58,21 +59,24 @@ def classify(docs: DataFrame, header: int = 35, footer: int = 35) -> DataFrame:
     lines in both.
     """
     n = F.size("a")
-    x = docs.where("text is not null").select("doc_id", "supplier", classifier_text(F.col("text")).alias("whole"), line_array(F.col("text")).alias("a"))
-    part = lambda c: classifier_text(F.array_join(c, "\n"))
-    x = x.select(
-        "doc_id", "supplier", "whole", part(F.slice("a", 1, header)).alias("header"), part(F.slice("a", header + 1, F.greatest(n - header - footer, F.lit(0)))).alias("body"),
-        part(F.slice("a", F.greatest(n - footer, F.lit(0)) + 1, F.lit(footer))).alias("footer"),
+    # letters are made plain once for the whole text, blanks are squeezed in each part
+    x = evaluated(docs.where("text is not null"), "doc_id", "supplier", t=F.regexp_replace(transliterate(F.lower("text")), r"[_:/\\-]+", " "))
+    squeezed = lambda c: F.regexp_replace(c, r"\s+", " ")
+    x = x.select("doc_id", "supplier", squeezed(F.col("t")).alias("whole"), line_array(F.col("t")).alias("a"))
+    part = lambda c: squeezed(F.array_join(c, "\n"))
+    x = evaluated(
+        x, "doc_id", "supplier", "whole", header=part(F.slice("a", 1, header)), body=part(F.slice("a", header + 1, F.greatest(n - header - footer, F.lit(0)))),
+        footer=part(F.slice("a", F.greatest(n - footer, F.lit(0)) + 1, F.lit(footer))),
     )
     both = F.concat_ws(" ", "header", "body")
     title = F.contains("header", F.lit(TITLE[0])) | F.contains("header", F.lit(TITLE[1]))
     report = (_count(both, REPORT_MARKS) >= 2) | ((_count(both, REPORT_MARKS) >= 1) & (_count(both, REPORT_CONTEXT) >= 2))
-    x = x.select("*", title.alias("title"), report.alias("report"))
+    x = evaluated(x, "doc_id", "supplier", "whole", "header", "body", "footer", title=title, report=report)
 
     none = F.array().cast("array<struct<e:string,p:double>>")
     hits = {t: F.concat(*[_hits(_list(words, add), seg, w) for seg, w in WEIGHTS for words, add in WORDS[t]]) for t in TYPES}
     hits[RE] = F.when(F.col("title"), F.concat(_hits(_list(TITLE, 0.45), "header", 2.0), hits[RE])).otherwise(none)
-    x = x.select("*", *[h.alias(t) for t, h in hits.items()])
+    x = evaluated(x, "doc_id", "supplier", "whole", "header", "body", "title", "report", **hits)
 
     points = {t: F.aggregate(F.col(t), F.lit(0.0), lambda s, h: s + h["p"]) for t in TYPES}
     negative = reduce(lambda a, b: a + b, [F.contains("whole", F.lit(plain_classifier_text(w))).cast("int") for w in NEGATIVE])
@@ -80,7 +84,7 @@ def classify(docs: DataFrame, header: int = 35, footer: int = 35) -> DataFrame:
     points[PR] = points[PR] + F.when(F.col("report"), 0.45).otherwise(0.0)
     for name, (t, add) in HINTS.items():
         points[t] = points[t] + F.when(F.col("supplier") == name, add).otherwise(0.0)
-    x = x.select("*", F.array(*[F.round(points[t], 6) for t in TYPES]).alias("s"))
+    x = evaluated(x, "doc_id", "supplier", "header", "body", "title", "report", *TYPES, s=F.array(*[F.round(points[t], 6) for t in TYPES]))
 
     score = {t: F.col("s")[k] for k, t in enumerate(TYPES)}
     top = F.array_max("s")
@@ -94,7 +98,7 @@ def classify(docs: DataFrame, header: int = 35, footer: int = 35) -> DataFrame:
     takeover = reduce(lambda a, b: a | b, [F.contains(both, F.lit(plain_classifier_text(w))) for w in UE_STRONG])
     always = F.upper(F.trim("supplier")).isin(*ALWAYS_DELIVERY)
     kind = F.when(always, "always").when(takeover, "takeover").when(F.col("report") & (score[PR] > 0), "report").when(top <= 0, "none").otherwise("best")
-    x = x.select("*", kind.alias("kind"), chosen.alias("chosen"), sure.alias("sure"))
+    x = evaluated(x, "doc_id", "s", *TYPES, kind=kind, chosen=chosen, sure=sure)
     kind = F.col("kind")
     typed = F.when(kind == "always", LS).when(kind == "takeover", UE).when(kind == "report", PR).when((kind == "none") | (F.round("sure", 6) < 0.60), OTHER).otherwise(F.col("chosen"))
     conf = F.when(kind == "always", 0.99).when(kind == "takeover", F.least(F.lit(0.99), 0.88 + F.least(score[UE], F.lit(1.0)) * 0.10))

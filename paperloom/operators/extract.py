@@ -27,12 +27,12 @@ def line_array(text: Column) -> Column:
     return F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a)
 
 
-def segments(ls: DataFrame, header: int = 35, footer: int = 35) -> DataFrame:
-    """(doc_id, line_no, line, segment); a line of a short document may be header and footer, one row each."""
-    n = F.count("*").over(Window.partitionBy("doc_id"))
+def segments(docs: DataFrame, header: int = 35, footer: int = 35) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, line_no, line, segment), cut in place; a line of a short document may be header and footer, one row each."""
+    x = docs.where("text is not null").select("doc_id", line_array(F.col("text")).alias("a")).select("doc_id", F.size("a").alias("n"), F.posexplode("a").alias("line_no", "line"))
     h, f = F.col("line_no") < header, F.col("line_no") >= F.col("n") - footer
     seg = F.array_compact(F.array(F.when(h, "header"), F.when(~h & ~f, "body"), F.when(f, "footer")))
-    return ls.withColumn("n", n).withColumn("segment", F.explode(seg)).drop("n")
+    return x.withColumn("segment", F.explode(seg)).drop("n")
 
 
 def recipient_block(ls: DataFrame, max_lines: int = 15) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators.extract import line_array
+from paperloom.session import evaluated, present
 
 # What a number looks like, in order of preference.
 TOKENS = (r"\b[A-Za-z0-9][-A-Za-z0-9/]{2,}\b", r"\b\d{6,}\b")
@@ -88,12 +89,11 @@ def placed(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(*[of(p) for p in TOKENS]), lambda x: plausible(x["t"]))))
 
 
-def below(line: Column, value: Column, name: Column) -> Column:
-    """The value in the column under a field's name, where the line has several values and the nearest isn't left of the name."""
+def below(line: Column, values: Column, name: Column) -> Column:
+    """The value in the column under a field's name, from the placed values of a line: where there are several and the nearest isn't left of the name."""
     pos = F.call_function("instr", F.lower(line), F.lower(name)) - 1
-    c = placed(value)
-    near = F.array_min(F.transform(c, lambda x: F.struct(F.abs(x["p"] - pos).alias("far"), x["p"].alias("p"), x["t"].alias("t"))))
-    return F.when((pos >= 0) & (F.size(c) >= 2) & (near["p"] + F.greatest(F.length(near["t"]), F.lit(1)) >= pos), near["t"])
+    near = F.array_min(F.transform(values, lambda x: F.struct(F.abs(x["p"] - pos).alias("far"), x["p"].alias("p"), x["t"].alias("t"))))
+    return F.when((pos >= 0) & (F.size(values) >= 2), F.try_element_at(F.filter(F.array(near), lambda x: x["p"] + F.greatest(F.length(x["t"]), F.lit(1)) >= pos), F.lit(1))["t"])
 
 
 def document_numbers(docs: DataFrame, suppliers: dict[str, Fields] | None = None, doc_types: tuple[str, ...] = ()) -> DataFrame:
@@ -106,20 +106,23 @@ def document_numbers(docs: DataFrame, suppliers: dict[str, Fields] | None = None
     rows = plans(spark, suppliers or {}, doc_types)
     every = "(?i)" + "|".join(sorted({p for *_, p, _ in rows}, key=len, reverse=True))
     dim = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("s", "d", "tier", "ord", "name", "pattern", "conf"), r)]) for r in rows])
-    x = docs.where("text is not null").select("doc_id", F.coalesce("supplier", F.lit("")).alias("supplier"), F.upper(F.coalesce("doc_type", F.lit(""))).alias("doc_type"), line_array(F.col("text")).alias("a"))
+    # texts without any field name are left out before they are cut
+    x = docs.where(F.col("text").rlike(every)).select("doc_id", "text", F.coalesce("supplier", F.lit("")).alias("supplier"), F.upper(F.coalesce("doc_type", F.lit(""))).alias("doc_type"))
     known = F.array(F.lit(""), *[F.lit(d.upper()) for d in doc_types])
     x = x.withColumn("doc_type", F.when(F.array_contains(known, F.col("doc_type")), F.col("doc_type")).otherwise(""))
+    x = evaluated(x, "doc_id", "supplier", "doc_type", a=line_array(F.col("text")))
     at = lambda k: F.coalesce(F.try_element_at("a", F.col("line_no") + k), F.lit(""))
     x = x.select("*", F.posexplode("a").alias("line_no", "line")).where(F.col("line").rlike(every)).select("doc_id", "supplier", "doc_type", "line_no", "line", at(2).alias("n1"), at(3).alias("n2"))
     mine = F.filter(dim, lambda f: (F.upper(f["d"]) == F.col("doc_type")) & ((f["s"] == "") | (f["s"] == F.col("supplier"))))
     x = x.select("*", F.explode(mine).alias("f")).where(F.rlike("line", F.concat(F.lit("(?i)"), F.col("f.pattern"))))
-    col = F.coalesce(below(F.col("line"), F.col("n1"), F.col("f.name")), below(F.col("line"), F.col("n2"), F.col("f.name")))
+    x = evaluated(x, "doc_id", "line_no", "line", "n1", "n2", "f", v1=placed(F.col("n1")), v2=placed(F.col("n2")))
+    col = F.coalesce(below(F.col("line"), F.col("v1"), F.col("f.name")), below(F.col("line"), F.col("v2"), F.col("f.name")))
     low, name = F.lower("line"), F.regexp_replace(F.lower("f.name"), r"([^a-z0-9\s])", r"\\$1")
     dated = F.rlike(low, F.concat(F.lit(r"datum[:\s-]*"), name, F.lit("|"), name, F.lit(r"[:\s-]*datum")))
     end = F.length(F.call_function("regexp_extract", F.col("line"), F.concat(F.lit("(?is)^.*?"), F.col("f.pattern")), F.lit(0)))
     tail = F.regexp_replace(F.substring("line", end + 1, F.length("line")), r"^[: \t]+", "")
     number = F.coalesce(col, F.when(~dated, F.coalesce(first_number(tail), first_number(F.col("n1")), first_number(F.col("n2")))))
-    x = x.select("doc_id", F.struct("f.tier", "f.ord", "line_no", number.alias("number"), F.col("f.name").alias("field"), "f.conf").alias("k")).where("k.number is not null")
+    x = present(x, "doc_id", "line_no", "f", number=number).select("doc_id", F.struct("f.tier", "f.ord", "line_no", "number", F.col("f.name").alias("field"), "f.conf").alias("k"))
     return x.groupBy("doc_id").agg(F.min("k").alias("k")).select("doc_id", "k.number", "k.field", F.col("k.conf").alias("confidence"))
 
 
@@ -140,9 +143,9 @@ def _plate(line: Column, pattern: str) -> Column:
 
 def plates(docs: DataFrame) -> DataFrame:
     """(doc_id, plate, tier): first beside or below a word for it in the first 80 lines, then on any line, at last written together."""
-    x = docs.where("text is not null").select("doc_id", F.transform(line_array(F.col("text")), lambda l: F.trim(l)).alias("a"))
-    x = x.select("doc_id", "a", F.transform("a", lambda l: _plate(l, PLATE)).alias("p"), F.transform("a", lambda l: F.coalesce(_plate(l, PLATE), _plate(l, MERGED))).alias("m"))
+    x = evaluated(docs.where("text is not null"), "doc_id", a=F.transform(line_array(F.col("text")), lambda l: F.trim(l)))
+    x = evaluated(x, "doc_id", "a", p=F.transform("a", lambda l: _plate(l, PLATE)), m=F.transform("a", lambda l: F.coalesce(_plate(l, PLATE), _plate(l, MERGED))))
     near = F.transform("a", lambda l, i: F.when((i < 80) & l.rlike(NAMED), F.coalesce(F.try_element_at("p", i + 1), F.try_element_at("p", i + 2))))
     first = lambda c: F.try_element_at(F.filter(c, lambda v: v.isNotNull()), F.lit(1))
-    x = x.select("doc_id", first(near).alias("a"), first(F.col("p")).alias("b"), first(F.col("m")).alias("c"))
+    x = evaluated(x, "doc_id", a=first(near), b=first(F.col("p")), c=first(F.col("m")))
     return x.select("doc_id", F.coalesce("a", "b", "c").alias("plate"), F.when(F.col("a").isNotNull(), 1).when(F.col("b").isNotNull(), 2).otherwise(3).alias("tier")).where("plate is not null")

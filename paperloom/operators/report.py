@@ -2,29 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Values of a group are cut into so many ranges, each ranked by itself.
+RANGES = 64
+
+
+def at_places(df: DataFrame, group: str, column: str, places: Column) -> DataFrame:
+    """(group, n, place, value): the values at some places (an array of longs made from `n`, from 0) of each group's ascending values.
+
+    Values are counted first, then cut into ranges at approximate quantiles; running counts over the ranges tell which
+    of them hold a place, and only those are ranked. No group is held by one task, and the result is exact.
+    """
+    c = df.where(F.col(column).isNotNull()).groupBy(group, F.col(column).alias("v")).agg(F.count("*").alias("c"))
+    cuts = c.groupBy(group).agg(F.percentile_approx("v", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), 1000).alias("cuts"), F.sum("c").alias("n"))
+    x = c.join(cuts, group).withColumn("range", F.size(F.filter("cuts", lambda y: y < F.col("v")))).drop("cuts")
+    r = x.groupBy(group, "range", "n").agg(F.sum("c").alias("held"))
+    r = r.withColumn("before", F.sum("held").over(Window.partitionBy(group).orderBy("range")) - F.col("held"))  # RANGES rows a group
+    r = r.select(group, "range", "before", "held", F.explode(F.array_distinct(places)).alias("place")).where("place >= before and place < before + held")
+    inside = Window.partitionBy(group, "range").orderBy("v")
+    y = x.join(r.select(group, "range").distinct(), [group, "range"]).withColumn("upto", F.sum("c").over(inside))
+    y = y.join(r, [group, "range"]).where(F.col("before") + F.col("upto") > F.col("place"))
+    return y.groupBy(group, "n", "place").agg(F.min("v").alias("value"))
+
+
 def percentiles(df: DataFrame, columns: list[str], qs: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """One row per column: count, mean and linearly interpolated percentiles of its numbers; nulls don't count."""
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s")).select("s.*").where("v is not null")
-    g = stacked.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.percentile("v", F.array(*[F.lit(q) for q in qs])).alias("p"))
-    return g.select("metric", "n", "mean", *[F.round(F.col("p")[i], 6).alias(f"p{int(q * 100)}") for i, q in enumerate(qs)])
+    spot = lambda q: F.lit(q) * (F.col("n") - 1)
+    places = F.array(*[f for q in qs for f in (F.floor(spot(q)), F.ceil(spot(q)))])
+    at = at_places(stacked, "metric", "v", places).groupBy("metric", "n").agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("m"))
+    mean = stacked.groupBy("metric").agg(F.round(F.avg("v"), 6).alias("mean"))
 
+    def value(q: float) -> Column:
+        low, high = F.element_at("m", F.floor(spot(q))), F.element_at("m", F.ceil(spot(q)))
+        return F.round(low + (high - low) * (spot(q) - F.floor(spot(q))), 6)
 
-def nearest_rank(df: DataFrame, group: str, column: str, q: float) -> DataFrame:
-    """The value at place int(n * q) of each group's ascending values.
+    return at.join(mean, "metric").select("metric", "n", "mean", *[value(q).alias(f"p{int(q * 100)}") for q in qs])
 
-    Values are counted first, so a group of any size is never put into one array: a running count over its
-    different values finds the place.
-    """
-    from pyspark.sql import Window
 
-    c = df.where(F.col(column).isNotNull()).groupBy(group, column).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(group).orderBy(column)
-    c = c.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(group)))
-    return c.where(F.col("upto") > F.least(F.floor(F.col("n") * q), F.col("n") - 1)).groupBy(group).agg(F.min(column).alias("value"), F.max("n").alias("n"))
+def nearest_rank(df: DataFrame, group: str, column: str, q: float) -> DataFrame:
+    """The value at place int(n * q) of each group's ascending values."""
+    at = at_places(df, group, column, F.array(F.least(F.floor(F.col("n") * q), F.col("n") - 1)))
+    return at.select(group, "value", "n")
 
 
 def histogram(df: DataFrame, column: str, bounds: list[float]) -> DataFrame:

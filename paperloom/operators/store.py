@@ -72,6 +72,23 @@ def known_and_new(uploads: DataFrame, registered: DataFrame) -> DataFrame:
     return u.join(keys, ["owner_scope", "sha"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+#: Ids of a list are followed within ranges of so many.
+RANGE = 65_536
+
+
+def next_in_list(df: DataFrame, group: str, key: str) -> DataFrame:
+    """(key, next): the following key of each group's list, the first one after the last. Ranges of keys are followed by themselves,
+    and the last of a range takes the first of the next range, so that no group is held by one task."""
+    x = df.select(group, key).withColumn("range", F.expr(f"{key} div {RANGE}"))
+    first = x.groupBy(group, "range").agg(F.min(key).alias("low"))
+    w = Window.partitionBy(group).orderBy("range")  # one row a range
+    first = first.select(group, "range", F.coalesce(F.lead("low").over(w), F.min("low").over(Window.partitionBy(group))).alias("then"))
+    x = x.withColumn("next", F.lead(key).over(Window.partitionBy(group, "range").orderBy(key)))
+    last = x.where("next is null").withColumnRenamed(group, "__g").withColumnRenamed("range", "__r")
+    last = last.join(first, F.col("__g").eqNullSafe(F.col(group)) & (F.col("__r") == F.col("range"))).select(key, F.col("then").alias("next"))
+    return x.where("next is not null").select(key, "next").unionByName(last)
+
+
 def unique_names(df: DataFrame, folder: str, name: str, order: str) -> DataFrame:
     """Names made unique per folder, in the given order: a free name is kept, else it gets the first free of _01, _02, ... before the ending.
 

@@ -175,7 +175,7 @@ def fingerprints(docs: DataFrame, known: DataFrame, top: int = 3) -> DataFrame:
 
 def without_blocked(candidates: DataFrame, blocked: DataFrame, column: str = "canonical") -> DataFrame:
     """Candidates whose normal form holds none of blocked(word): an anti join on containment, the list on every task."""
-    words = [w for r in _bounded(blocked.select("word"), "word") if (w := key(r.word or ""))]
+    words = [w for r in _bounded(blocked.where("word is not null").select("word"), "word") if (w := key(r.word))]
     from paperloom.functions.text import supplier_key
 
     return candidates.where(~F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.coalesce(supplier_key(F.col(column)), F.lit("")), w))) if words else candidates

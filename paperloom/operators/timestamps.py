@@ -339,8 +339,9 @@ def normalise_timestamps(records: DataFrame, sites: DataFrame, block: int = BLOC
     One shuffle, by table and block of ids (never by site, so no hot site); sites has one row per site and joins by
     whatever plan its size allows. The second pass sees the open rows of a source and two rows of each of its blocks.
     """
-    n = width(records.sparkSession)
-    r = _with_sites(records, sites).withColumn("block", F.expr(f"rec_id div {block}"))
+    r = _with_sites(records, sites)
+    n = width(records)
+    r = r.withColumn("block", F.expr(f"rec_id div {block}"))
     r = r.repartition(n, "rec_table", "block").sortWithinPartitions("rec_table", "block", "owner_scope", "rec_id", "val")
     out = cut(r.select(*_COLS, "block").mapInPandas(_decode, _OUT))
     done = out.where("state = 'done'").select("rec_table", "rec_id", "normal_form")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.session import cut
+
 #: Queries that are sent to the tasks at a time.
 BLOCK = 2048
 
@@ -24,19 +26,18 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _usable(df: DataFrame) -> DataFrame:
-    """Vectors of the most common length that are not zero."""
+    """Vectors without nulls and NaNs that are not zero; each is compared with those of its own length only."""
     return df.where("embedding is not null and size(embedding) > 0 and exists(embedding, x -> x <> 0) and forall(embedding, x -> x is not null and not isnan(x))")
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest rows of each query by cosine, itself left out; ties by vec_id."""
     q = _usable(queries).select("vec_id", "embedding").dropDuplicates(["vec_id"])
-    n = q.count()
+    lengths = q.groupBy(F.size("embedding").alias("d")).count().collect()
     r = _usable(rows).select("vec_id", "embedding").dropDuplicates(["vec_id"])
     parts = []
-    blocks = max(1, -(-n // BLOCK))
-    for i in range(blocks):
-        got = q.where(f"pmod(xxhash64(vec_id), {blocks}) = {i}").toPandas()
+    for d, i, blocks in [(x.d, i, b) for x in lengths for b in [-(-x["count"] // BLOCK)] for i in range(b)]:
+        got = q.where(f"size(embedding) = {d} and pmod(xxhash64(vec_id), {blocks}) = {i}").toPandas()
         if got.empty:
             continue
         ids, mat = got.vec_id.to_numpy(), np.stack(got.embedding.map(np.asarray).to_list()).astype(np.float64)
@@ -50,8 +51,13 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                     continue
                 v = same.vec_id.to_numpy()
                 s = np.round(mat @ _unit(np.stack(same.embedding.map(np.asarray).to_list()).astype(np.float64)).T, 6)
-                order = np.lexsort((np.broadcast_to(v, s.shape), -s), axis=1)[:, : k + 1]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": v[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                if s.shape[1] > 4 * k:  # rows below a query's k best can't count; ties with the last one stay
+                    least = -np.partition(-s, k, axis=1)[:, k]
+                    at, col = np.nonzero(s >= least[:, None])
+                else:
+                    at, col = map(np.ravel, np.indices(s.shape))
+                near = pd.DataFrame({"query_id": ids[at], "vec_id": v[col], "score": s[at, col]}).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+                yield near.groupby("query_id").head(k + 1)
 
         parts.append(r.mapInPandas(run, "query_id long, vec_id long, score double"))
     if not parts:
@@ -85,7 +91,7 @@ def pair_statistics(rows: DataFrame) -> DataFrame:
         if n:
             yield pd.DataFrame({"n": [n], "s": [s.tolist()], "g": [g.ravel().tolist()]})
 
-    part = u.mapInPandas(run, "n long, s array<double>, g array<double>")
+    part = cut(u.mapInPandas(run, "n long, s array<double>, g array<double>"))  # one row a task, used three times
     total = part.agg(F.sum("n").alias("n"))
     # one row per task and place, summed
     s = part.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("s2"))

@@ -11,6 +11,7 @@ from paperloom.functions import text as X
 from paperloom.operators import extract, report, store, vectors
 from paperloom.operators.timestamps import normalise_timestamps, reading_counts
 from paperloom.session import spread, table
+from paperloom.sources import readers
 from paperloom.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +74,13 @@ def s22_filename_parts(s, d):
     return once(s, d, "uploads", "upload_id").where("original_name is not null").select("upload_id", extract.name_from_file().alias("p")).select("upload_id", "p.*")
 
 
+@query(f"""with p as (select upload_id, string_split(regexp_replace(regexp_replace(original_name,'^.*/',''),'\\.[^.]*$',''),'_') p, regexp_replace(regexp_replace(original_name,'^.*/',''),'\\.[^.]*$','') stem from {U} where original_name is not null),
+ a as (select *, coalesce(list_position(list_transform(p, lambda x: regexp_full_match(x,'[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}')), true), 0) at_ from p)
+ select upload_id, case when at_ > 0 then array_to_string(p[1:at_-1],'_') else stem end supplier, case when at_ > 0 then cast(try_strptime(p[at_],'%d-%m-%Y') as date) end as date, case when at_ > 0 and at_ < len(p) then array_to_string(p[at_+1:],'_') end number from a""")
+def s22_stem_parts(s, d):
+    return once(s, d, "uploads", "upload_id").where("original_name is not null").select("upload_id", readers.stem_parts(F.col("original_name")).alias("p")).select("upload_id", "p.*")
+
+
 @query(f"select {KEY.format('name')} key, count(*) n from {S} where name is not null group by 1")
 def f03_supplier_keys(s, d):
     return once(s, d, "suppliers", "supplier_id").where("name is not null").groupBy(X.supplier_key(F.col("name")).alias("key")).agg(F.count("*").alias("n"))
@@ -103,7 +111,9 @@ def f50_text_scores(s, d):
     return documents(s, d).select("doc_id", X.text_score(F.col("text"), ("rechnung", "lieferschein"), ("datum", "vom ")).cast("int").alias("score"))
 
 
-@query()
+@query(r"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') w from documents where text is not null),
+ c as (select doc_id, list_reduce(list_transform(w, lambda x: [length(x)]), lambda a, x: case when a[-1] + 1 + x[1] <= 400 then list_concat(a[:-2], [a[-1] + 1 + x[1]]) else list_concat(a, x) end) n from w where len(w) > 0)
+ select doc_id, cast(i - 1 as integer) chunk_no, cast(n[i] as integer) n_chars from (select doc_id, n, unnest(generate_series(1, len(n))) i from c)""")
 def f42_chunks(s, d):
     c = documents(s, d).where("text is not null").select("doc_id", F.posexplode(X.word_chunks(F.col("text"), 400)).alias("chunk_no", "chunk"))
     return c.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"))
@@ -165,7 +175,7 @@ def x03_lines(s, d):
 
 @query(f"select doc_id, count(*) filter (where line_no < 5) header, count(*) filter (where line_no >= 5 and line_no < n - 4) body, count(*) filter (where line_no >= n - 4) footer from {LINES} group by doc_id")
 def d02_segments(s, d):
-    g = extract.segments(extract.lines(documents(s, d)), 5, 4)
+    g = extract.segments(documents(s, d), 5, 4)
     return g.groupBy("doc_id").agg(*[F.count_if(F.col("segment") == x).alias(x) for x in ("header", "body", "footer")])
 
 
@@ -207,7 +217,7 @@ def w01_best_candidates(s, d):
     return store.top_n(c, ["doc_id"], [rank, F.desc_nulls_last("confidence"), F.col("candidate_id")], 1).select("doc_id", "candidate_id", "date_str")
 
 
-@query(f"select upload_id, case when k = 0 then original_name else regexp_replace(original_name,'\\.[^.]*$','') || '_' || case when k < 100 then lpad(cast(k as varchar),2,'0') else substr(cast(k as varchar),1,2) end || regexp_extract(original_name,'(\\.[^.]*)$',1) end unique_name from (select upload_id, original_name, row_number() over (partition by owner_scope, original_name order by upload_id) - 1 k from {U} where original_name is not null)")
+@query(f"select upload_id, case when k = 0 then original_name else regexp_replace(original_name,'\\.[^.]*$','') || '_' || lpad(cast(k as varchar), greatest(2, length(cast(k as varchar)))::integer, '0') || regexp_extract(original_name,'(\\.[^.]*)$',1) end unique_name from (select upload_id, original_name, row_number() over (partition by owner_scope, original_name order by upload_id) - 1 k from {U} where original_name is not null)")
 def w08_unique_names(s, d):
     u = once(s, d, "uploads", "upload_id").where("original_name is not null")
     return store.unique_names(u, "owner_scope", "original_name", "upload_id").select("upload_id", "unique_name")
@@ -221,8 +231,7 @@ def w12_recent(s, d):
 @query(f"select entry_id, coalesce(lead(entry_id) over (partition by owner_scope order by entry_id), min(entry_id) over (partition by owner_scope)) next_id from {Q} where not coalesce(reviewed, false)")
 def w11_next_in_list(s, d):
     q = once(s, d, "quarantine", "entry_id").where("not coalesce(reviewed, false)")
-    w = Window.partitionBy("owner_scope").orderBy("entry_id")
-    return q.select("entry_id", F.coalesce(F.lead("entry_id").over(w), F.min("entry_id").over(Window.partitionBy("owner_scope"))).alias("next_id"))
+    return store.next_in_list(q, "owner_scope", "entry_id").withColumnRenamed("next", "next_id")
 
 
 @query(f"with o as (select * from {U} where batch_no = 0), n as (select * from {U} where batch_no >= 1), o1 as (select sha256 k, min(upload_id) ord, min(ts) first_ts, max(file_id) file_id from o where sha256 is not null group by 1), n1 as (select sha256 k, min(upload_id) ord, min(ts) first_ts, max(file_id) file_id from n where sha256 is not null group by 1) select k, coalesce(o1.ord, n1.ord) ord, case when n1.k is not null then n1.first_ts else o1.first_ts end first_ts, coalesce(o1.file_id, n1.file_id) file_id, case when o1.k is not null then 0 else 1 end side from o1 full join n1 using (k)")
@@ -270,8 +279,7 @@ def a01_summary(s, d):
     q = once(s, d, "quarantine", "entry_id")
     t = F.coalesce(F.nullif(F.trim("document_type"), F.lit("")), F.lit("SONSTIGES"))
     g = q.groupBy(t.alias("document_type")).agg(F.count("*").alias("n"), F.count_if(F.coalesce("reviewed", F.lit(False))).alias("reviewed"))
-    total = g.agg(F.sum("n").alias("total"))
-    return g.join(F.broadcast(total)).select("document_type", "n", "reviewed", F.round(F.col("n") / F.col("total"), 6).alias("share"))  # total is one row
+    return g.select("document_type", "n", "reviewed", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6).alias("share"))  # one row a type
 
 
 @query(f"select supplier, count(*) n from {Q} where trim(supplier) <> '' group by 1 order by n desc, supplier limit 5")

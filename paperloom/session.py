@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
 
-def width(spark: SparkSession) -> int:
-    """Partitions of a shuffle before work that is heavy per row: a stated number isn't coalesced by the bytes it carries."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def evaluated(df: DataFrame, *kept: str, **columns: Column) -> DataFrame:
+    """The kept columns and new ones that are computed once: a generator keeps the planner from copying their expressions into every place that uses them."""
+    return df.select(*kept, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__once")).select(*kept, *[F.col(f"__once.{n}") for n in columns])
+
+
+def present(df: DataFrame, *kept: str, **column: Column) -> DataFrame:
+    """The kept columns and one new one, for rows where it isn't null; computed once, not again for the filter."""
+    ((name, c),) = column.items()
+    return df.select(*kept, F.explode(F.array_compact(F.array(c))).alias(name))
+
+
+#: Bytes of input for a task with work that is heavy per row.
+TASK_BYTES = 128 << 20
+
+
+def width(df: DataFrame) -> int:
+    """Partitions of a shuffle of a frame before work that is heavy per row: by the planner's estimate of its bytes, at least
+    the session's number. A stated number isn't coalesced by the bytes it carries, and grows with the input."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # without statistics the estimate is the largest number there is
+    return max(least, min(size // TASK_BYTES, 1_000_000)) if size < 1 << 60 else least

@@ -25,7 +25,7 @@ def timed(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def rates(events: DataFrame, length: str = "5 minutes", step: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    """Count, sum and share of errors in sliding windows per event type."""
+    """Count and sum in sliding windows per event type."""
     w = timed(events, delay).groupBy(F.window("at", length, step), "event_type")
     g = w.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return g.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")

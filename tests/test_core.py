@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
-from paperloom.operators import extract, report, store, vectors
+from paperloom.operators import dates, doctypes, extract, report, store, vectors
 from paperloom.sources import readers, sinks
 from paperloom.streaming import jobs
 
@@ -42,7 +42,7 @@ def test_scalar_functions(spark):
     assert one(spark, X.pivot_year(F.col("t")), t=70) == 1970 and one(spark, X.pivot_year(F.col("t")), t=69) == 2069
     assert one(spark, X.safe_filename(F.col("t")), t=" Müller & Söhne / GmbH ") == "Mueller_Soehne_GmbH" and one(spark, X.safe_filename(F.col("t")), t="??") == "Unbekannt"
     assert one(spark, X.month_folder(F.to_date("t"), "B"), t="2024-03-05") == "März 2024"
-    assert one(spark, X.render("{supplier}_{date}_{docno}", {"supplier": F.col("t"), "date": F.lit(None).cast("string"), "docno": F.lit("7")}), t="A") == "A_7"
+    assert one(spark, X.render("{supplier}_{date}_{doc_number}", {"supplier": F.col("t"), "date": F.lit(None).cast("string"), "doc_number": F.lit("7")}), t="A") == "A_7"
     with pytest.raises(ValueError):
         X.render("{nope}", {})
     assert one(spark, X.error_type(F.col("t")), t="Value Error: x") == "Value_Error"
@@ -59,10 +59,10 @@ def test_lines_segments_and_empty(spark):
     docs = spark.createDataFrame([(1, "a\r\nb c\n", "x"), (2, None, "x"), (3, "", "x")], "doc_id long, text string, line string")
     got = [(r.doc_id, r.line_no, r.line) for r in extract.lines(docs).orderBy("doc_id", "line_no").collect()]
     assert got == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c")]
-    seg = extract.segments(extract.lines(docs), 2, 2).groupBy("segment").count().collect()
+    seg = extract.segments(docs, 2, 2).groupBy("segment").count().collect()
     assert {r.segment: r["count"] for r in seg} == {"header": 2, "footer": 2}
-    assert extract.classify(docs).where("doc_type <> 'SONSTIGES'").count() == 0
-    assert extract.best_dates(extract.lines(docs.limit(0))).count() == 0
+    assert doctypes.classify(docs.withColumn("supplier", F.lit(None).cast("string"))).where("doc_type <> 'SONSTIGES'").count() == 0
+    assert dates.best_dates(docs.limit(0)).count() == 0
     block = spark.createDataFrame([(1, i, x) for i, x in enumerate(["Kopf", "z. Hd. A", "Weg 1", " ", "Text"])], "doc_id long, line_no int, line string")
     assert [r.line for r in extract.recipient_block(block).orderBy("line_no").collect()] == ["z. Hd. A", "Weg 1"]
 
@@ -175,13 +175,13 @@ def test_entry_without_the_subpackage():
 @pytest.mark.parametrize(
     "line,date,score",
     [
-        ("Rechnung Nr. 4711   Datum: 31. Oktober 2021", "2021-10-31", 120), ("Liste 3. Sept. 1999", "1999-09-03", 80), ("Auftrag vom 1. März 2024, bezahlt 02.02.2024", "2024-03-01", 120),
-        ("Date : 27/01/2024", "2024-01-27", 80), ("Datum 5.3.69", "2069-03-05", 80), ("Datum 05/03/70.", "1970-03-05", None), ("Datum 05/03/98.", "1998-03-05", 80), ("Tel. 06.10.05.24.09", None, None), ("Zeichnung 31. Postfach 2021", None, None),
+        ("Rechnung Nr. 4711   Datum: 31. Oktober 2021", "2021-10-31", 120), ("Liste 3. Sept. 1999", "1999-09-03", 60), ("Auftrag vom 1.3.2024, bezahlt 02.02.2024", "2024-03-01", 45),
+        ("Date : 27/01/2024", "2024-01-27", 10), ("Lieferdatum 05.03.2020", "2020-03-05", 90), ("EZ 05.03.2020", None, None), ("Nächste HU 05.03.2020", None, None), ("Tel. 06.10.05.24.09", None, None), ("Zeichnung 31. Postfach 2021", None, None),
     ],
 )
 def test_dates_of_all_shapes(spark, line, date, score):
-    ls = spark.createDataFrame([(1, 0, line)], "doc_id long, line_no int, line string")
-    got = [(str(r.date), r.score) for r in extract.best_dates(ls).collect()]
+    docs = spark.createDataFrame([(1, line)], "doc_id long, text string")
+    got = [(str(r.date), r.score) for r in dates.scored_dates(docs).collect()]
     assert got == ([(date, score)] if score else [])
 
 
