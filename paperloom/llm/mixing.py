@@ -98,7 +98,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None) -> tuple[
         raise ValueError(f"more than {MAX_SOURCES} sources")
     # the list of targets is bounded (MAX_SOURCES), so this is a filter
     listed = docs.where(F.col("source").isin([r.source for r in rows])) if rows else docs.limit(0)
-    d = cut(token_counts(listed.repartition(width(spark), "doc_id").dropDuplicates(["doc_id"])).where("n_tokens > 0"))
+    d = cut(token_counts(listed.repartition(width(listed), "doc_id").dropDuplicates(["doc_id"])).where("n_tokens > 0"))
     supply = {r.source: r.n for r in d.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     p = plan([(r.source, r.t, r.m) for r in rows], supply, total)
     steps = [(s, x["target"], x["demand"], x["slope"], math.ceil(x["demand"] / supply[s] - 1e-9) if supply.get(s) else 0, supply.get(s, 0), x["repeats"]) for s, x in sorted(p.items())]

@@ -36,8 +36,10 @@ def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_values(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "suppliers").repartition(width(spark), "supplier_id").dropDuplicates(["supplier_id"])
-    m = table(spark, d, "supplier_matches").select("match_id", "canonical_name").repartition(width(spark), "match_id").dropDuplicates(["match_id"])
+    s = table(spark, d, "suppliers").select("supplier_id", "name", "aliases")
+    m = table(spark, d, "supplier_matches").select("match_id", "canonical_name")
+    s = s.repartition(width(s), "supplier_id").dropDuplicates(["supplier_id"])
+    m = m.repartition(width(m), "match_id").dropDuplicates(["match_id"])
     return (
         s.select(F.lit("suppliers.name").alias("field_name"), F.col("supplier_id").alias("rec_id"), F.lit(0).alias("pos"), F.col("name").alias("val"))
         .unionByName(s.select(F.lit("suppliers.aliases").alias("field_name"), F.col("supplier_id").alias("rec_id"), F.posexplode("aliases").alias("pos", "val")).withColumn("pos", F.col("pos") + 1))
@@ -78,4 +80,9 @@ def p8_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p5_registry": p5_registry, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_masked": p8_masked}
-ORACLE: dict[str, str] = {}
+_SHA = "lower(trim(regexp_replace(sha256, '^.*:|\\s', '', 'g')))"
+ORACLE: dict[str, str] = {
+    "p5_registry": f"""with o as (select owner_scope, {_SHA} sha256, min(first_seen_at) a, max(last_seen_at) b, max(coalesce(seen_count, 1)) n from document_fingerprints where sha256 is not null and owner_scope is not null group by 1, 2),
+ u as (select owner_scope, {_SHA} sha256, min(ts) a, max(ts) b, count(*) filter (where batch_no >= 1) fresh, count(*) filter (where batch_no < 1) old from (select distinct on (upload_id) * from uploads) where sha256 is not null and owner_scope is not null group by 1, 2)
+ select owner_scope, sha256, least(o.a, u.a) first_seen_at, greatest(o.b, u.b) last_seen_at, cast(greatest(coalesce(n, 0), coalesce(old, 0)) + coalesce(fresh, 0) as bigint) seen_count from o full join u using (owner_scope, sha256)""",
+}

@@ -190,7 +190,8 @@ def laid_out(records: DataFrame) -> DataFrame:
         for b in batches:
             yield b.assign(kinds=["".join(_CODE[k] for k in layout(t)[1]) for t in b.text])
 
-    r = records.select("rec_table", F.col("rec_id").cast("long").alias("rec_id"), "text").where("text is not null and rec_id is not null").repartition(width(records.sparkSession), "rec_table", "rec_id").dropDuplicates(["rec_table", "rec_id"])
+    r = records.select("rec_table", F.col("rec_id").cast("long").alias("rec_id"), "text").where("text is not null and rec_id is not null")
+    r = r.repartition(width(r), "rec_table", "rec_id").dropDuplicates(["rec_table", "rec_id"])
     return cut(r.mapInPandas(run, "rec_table string, rec_id long, text string, kinds string"))
 
 
