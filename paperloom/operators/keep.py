@@ -147,3 +147,17 @@ def negatives(pairs: DataFrame, k: int, seed: int) -> DataFrame:
     near = F.collect_list(F.struct(F.col("path").alias("p"), F.col("supplier").alias("s"))).over(w.rowsBetween(1, 8 * k))
     x = h.withColumn("near", near).withColumn("near", F.slice(F.filter("near", lambda n: ~n["s"].eqNullSafe(F.col("supplier")) & (n["p"] != F.col("path"))), 1, k))
     return x.select("path", "supplier", F.posexplode("near").alias("rank", "n")).select("path", "supplier", F.col("n.p").alias("other"), (F.col("rank") + 1).alias("rank"))
+
+
+def update_from(rows: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
+    """rows with a column taken from changes(key, column) where the key has a change that isn't null; of several the greatest counts."""
+    c = changes.where(F.col(column).isNotNull()).groupBy(key).agg(F.max(column).alias("__new"))
+    return rows.join(c, key, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+
+
+def best_page(text: Column) -> Column:
+    """(page, words) of the page of a text, cut at form feeds, that has most words; the first one on a tie, pages from 1."""
+    words = lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != ""))
+    pages = F.transform(F.split(text, "\f"), lambda p, i: F.struct((-words(p)).alias("w"), (i + 1).alias("page")))
+    best = F.array_min(pages)
+    return F.struct(best["page"].alias("page"), (-best["w"]).alias("words"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
-from paperloom.operators import keep
-from paperloom.plans.catalog import KEY, L, LINES, M, Q, S, U, documents, once, query
+from paperloom.operators import keep, vectors
+from paperloom.plans.catalog import COS, KEY, L, LINES, M, Q, S, U, documents, once, query
 from paperloom.session import table
 
 QUARTER = "upload_id % 4 = 0"
@@ -149,3 +149,54 @@ def p34_keyword_lines(s, d):
     z = F.transform(line_array(F.col("text")), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
     hit = F.slice(F.filter(z, lambda v: F.lower(v["line"]).rlike(_KW) | v["line"].rlike(r"\d{1,2}\.\d{1,2}\.\d{4}")), 1, 20)
     return documents(s, d).where("text is not null").select("doc_id", F.posexplode(hit).alias("rank", "v")).select("doc_id", (F.col("rank") + 1).alias("rank"), "v.line_no", "v.line")
+
+
+_MISS = "(supplier is null or trim(supplier) in ('', '-', 'Unbekannt'))"
+_NODATE = "(date is null or trim(date) in ('', '-') or contains(lower(date), 'unbekannt'))"
+
+
+@query(f"select entry_id from {Q} where {_MISS} or {_NODATE} or coalesce(supplier_confidence, 0) < 0.85")
+def p04_incomplete(s, d):
+    return once(s, d, "quarantine", "entry_id").where(f"{_MISS} or {_NODATE} or coalesce(supplier_confidence, 0) < 0.85").select("entry_id")
+
+
+@query(f"select entry_id, document_type from {Q} where not coalesce(reviewed, false) and document_type in ('RECHNUNG', 'LIEFERSCHEIN')")
+def p08_review_queue(s, d):
+    q = once(s, d, "quarantine", "entry_id")
+    return q.where(~F.coalesce("reviewed", F.lit(False)) & F.col("document_type").isin("RECHNUNG", "LIEFERSCHEIN")).select("entry_id", "document_type")
+
+
+@query("select candidate_id, doc_id, confidence from (select distinct on (candidate_id) * from date_candidates) where confidence >= 0.6")
+def p35_confident_candidates(s, d):
+    return once(s, d, "date_candidates", "candidate_id").where("confidence >= 0.6").select("candidate_id", "doc_id", "confidence")
+
+
+@query(f"select upload_id, case when upload_id % 5 = 0 then upper(file_id) else original_name end original_name from {U}")
+def u23_update_by_key(s, d):
+    u = once(s, d, "uploads", "upload_id")
+    c = u.where("upload_id % 5 = 0").select("upload_id", F.upper("file_id").alias("original_name"))
+    return keep.update_from(u.select("upload_id", "original_name"), c, "upload_id", "original_name")
+
+
+@query(f"select supplier_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), '|') aliases from (select supplier_id, list_filter(aliases, lambda x: x is not null) a from {S} where aliases is not null)")
+def u25_distinct_in_order(s, d):
+    t = once(s, d, "suppliers", "supplier_id").where("aliases is not null")
+    return t.select("supplier_id", F.array_join(F.array_distinct(F.array_compact("aliases")), "|").alias("aliases"))
+
+
+@query(r"""with p as (select ocr_id, unnest(generate_series(1, len(p))) page, unnest(p) t from (select ocr_id, string_split(text, chr(12)) p from (select distinct on (ocr_id) * from ocr_results) where text is not null)),
+ w as (select ocr_id, page, len(list_filter(regexp_split_to_array(t, '[ \t\n\x0b\f\r]+'), lambda x: x <> '')) w from p) select ocr_id, cast(arg_min(page, row(-w, page)) as integer) page, cast(max(w) as integer) words from w group by ocr_id""")
+def w26_best_pages(s, d):
+    return once(s, d, "ocr_results", "ocr_id").where("text is not null").select("ocr_id", keep.best_page(F.col("text")).alias("b")).select("ocr_id", "b.*")
+
+
+@query(f"with r as (select file_id, owner_scope from {M} where match_id % 2 = 0) select distinct u.upload_id, u.file_id from {U} u join r on u.file_id = r.file_id and u.owner_scope = r.owner_scope")
+def j15_owned_documents(s, d):
+    r = once(s, d, "supplier_matches", "match_id").where("match_id % 2 = 0").select("file_id", "owner_scope").distinct()
+    return once(s, d, "uploads", "upload_id").join(r, ["file_id", "owner_scope"], "left_semi").select("upload_id", "file_id")
+
+
+@query(f"select query_id, vec_id, score, cast(k as integer) as rank from (select q.vec_id query_id, r.vec_id, {COS} score, row_number() over (partition by q.vec_id order by {COS} desc, r.vec_id) k from embeddings q, embeddings r where q.vec_id % 50 = 0 and q.vec_id <> r.vec_id and r.label = 1) where k <= 5")
+def p25_filtered_nearest(s, d):
+    e = table(s, d, "embeddings")
+    return vectors.top_k(e.where("vec_id % 50 = 0"), e.where("label = 1"), 5)
