@@ -58,7 +58,9 @@ def text_features(docs: DataFrame) -> DataFrame:
     numbers = F.transform(F.split("text", _BREAKS), lambda p: F.regexp_extract_all(p, F.lit(r"\d{4,}"), F.lit(0)))
     # letters misread as digits never make runs of six
     keys = F.transform(F.filter(numbers, lambda n: F.exists(n, lambda x: F.length(x) >= 6)), lambda n: F.xxhash64(n))
-    d = d.select("doc_id", F.md5(F.replace("flat", F.lit(_END), F.lit("")).cast("binary")).alias("content"), F.array_distinct(paras).alias("paras"), F.array_distinct(keys).alias("keys"))
+    # folding makes some digits alike, so equal contents must have equal long numbers too
+    content = F.concat(F.replace("flat", F.lit(_END), F.lit("")), F.lit(_END), F.array_join(F.flatten(numbers), " "))
+    d = d.select("doc_id", F.md5(content.cast("binary")).alias("content"), F.array_distinct(paras).alias("paras"), F.array_distinct(keys).alias("keys"))
     return d.select("doc_id", "content", F.when(F.size("keys") > 0, F.col("keys")).otherwise(F.col("paras")).alias("keys"), "paras")
 
 
