@@ -30,7 +30,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.session import cut, ensure_checkpoint_dir
+from paperloom.session import cut, ensure_checkpoint_dir, evaluated
 
 #: Share of the smaller upload's keys, and of its folded paragraphs, that the other one must have.
 COVER = 0.6
@@ -41,9 +41,9 @@ _END = "\u0001"
 _BREAKS = r"[\r\n  \u0085]+|(?<=[.!?])\s+"
 
 
-def folded(text: Column) -> Column:
-    """Letters that scans confuse as one letter, no spaces and signs, doubled letters once; paragraphs end in \\u0001."""
-    t = F.regexp_replace(F.lower(text), _BREAKS, _END)
+def folded(pieces: Column) -> Column:
+    """Letters that scans confuse as one letter, no spaces and signs, doubled letters once; the pieces of a text joined by \\u0001."""
+    t = F.lower(F.array_join(pieces, _END))
     for a, b in (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w")):
         t = F.replace(t, F.lit(a), F.lit(b))
     t = F.translate(t, "01|!l596u8hctö6ä", "oiiiisggnbbefooa")
@@ -52,14 +52,15 @@ def folded(text: Column) -> Column:
 
 def text_features(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, content, keys, paras): hashes only, all inside the JVM; texts without a sign give no row."""
-    d = docs.select("doc_id", "text").where("text is not null").dropDuplicates(["doc_id"]).select("doc_id", "text", folded(F.col("text")).alias("flat"))
-    d = d.where("flat rlike '[^\\u0001]'")
+    d = docs.select("doc_id", "text").where("text is not null").dropDuplicates(["doc_id"])
+    d = evaluated(d, "doc_id", pieces=F.split("text", _BREAKS))
+    numbers = F.transform("pieces", lambda p: F.regexp_extract_all(p, F.lit(r"\d{4,}"), F.lit(0)))
+    d = evaluated(d, "doc_id", flat=folded(F.col("pieces")), numbers=numbers).where("flat rlike '[^\\u0001]'")
     paras = F.transform(F.filter(F.split("flat", _END), lambda p: F.length(p) >= SHORTEST), lambda p: F.xxhash64(p))
-    numbers = F.transform(F.split("text", _BREAKS), lambda p: F.regexp_extract_all(p, F.lit(r"\d{4,}"), F.lit(0)))
     # letters misread as digits never make runs of six
-    keys = F.transform(F.filter(numbers, lambda n: F.exists(n, lambda x: F.length(x) >= 6)), lambda n: F.xxhash64(n))
+    keys = F.transform(F.filter("numbers", lambda n: F.exists(n, lambda x: F.length(x) >= 6)), lambda n: F.xxhash64(n))
     # folding makes some digits alike, so equal contents must have equal long numbers too
-    content = F.concat(F.replace("flat", F.lit(_END), F.lit("")), F.lit(_END), F.array_join(F.flatten(numbers), " "))
+    content = F.concat(F.replace("flat", F.lit(_END), F.lit("")), F.lit(_END), F.array_join(F.flatten("numbers"), " "))
     d = d.select("doc_id", F.md5(content.cast("binary")).alias("content"), F.array_distinct(paras).alias("paras"), F.array_distinct(keys).alias("keys"))
     return d.select("doc_id", "content", F.when(F.size("keys") > 0, F.col("keys")).otherwise(F.col("paras")).alias("keys"), "paras")
 

@@ -92,3 +92,12 @@ def test_letters_that_share_only_the_letterhead(spark):
     docs = [(1, head + "Wir danken für Ihre Bestellung.\nDie Ware kommt am Montag bei Ihnen an.\nBitte halten Sie das Tor frei."), (2, head + "Ihre Mahnung ist bei uns eingegangen.\nDer Betrag wurde schon überwiesen.\nWir bitten um Prüfung.")]
     u = [(i, i - 1, "a", f"s{i}", i) for i in (1, 2)]
     assert history.find_copies(spark.createDataFrame(u, UP), spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
+
+
+def test_a_text_is_folded_and_searched_once(spark):
+    docs = spark.createDataFrame([(1, "Firma Glas.  Auftrag 4711223344\n\nEnde"), (2, "\n . "), (3, None)], "doc_id long, text string")
+    f = history.text_features(docs)
+    plan = f._jdf.queryExecution().optimizedPlan().toString()
+    # the planner may copy an expression into the filter and into each place that uses it
+    assert [plan.count(x) for x in ("translate(", "regexp_extract_all(", history._BREAKS)] == [1, 1, 1]
+    assert [(r.doc_id, len(r["keys"]), len(r.paras)) for r in f.collect()] == [(1, 1, 1)]
